@@ -74,14 +74,14 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_token_ids, op4_language, op5_html_text, op6_toxicity, op7_warc_fixity, op8_jaccard_join, op9_nearest, op10_mixture)}
 
-_WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^0-9a-z\\x{80}-\\x{10FFFF}]+', ' ', 'g'), ' '), x -> x <> '')"
+_WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^0-9a-z\\x{80}-\\x{10FFFF}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
 ORACLE_SQL = {
     "op2_decontaminate": f"""
 with i as (select item_id, {_WORDS} w from benchmark), d as (select row_number() over () r, doc_id, {_WORDS} w from documents),
-si as (select distinct item_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), k -> array_to_string(w[k:k + 4], ' ')) end) s from i),
+si as (select distinct item_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) end) s from i),
 n as (select item_id, count(*) item_shingles from si group by 1),
-sd as (select r, doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), k -> array_to_string(w[k:k + 4], ' ')) end) s from d),
+sd as (select r, doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) end) s from d),
 m as (select r, doc_id, item_id, count(distinct s) as shared from sd join si using (s) group by all)
 select doc_id, item_id, shared, item_shingles, shared::double / item_shingles containment from m join n using (item_id) where shared >= 0.8 * item_shingles - 1e-9""",
     "op10_mixture": mixture.oracle(),
