@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,14 +105,10 @@ class Email:
         return F.when(fine, struct("string", F.concat(local, F.lit("@"), F.lower(domain))))
 
 
-def _compose():
-    """NFC has no built-in; a rule must ask for this Python function."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def nfc(s: pd.Series) -> pd.Series:
-        import unicodedata
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-    return nfc
+def _compose():
+    """NFC has no built-in; a rule must ask for this Python function."""
+    return F.pandas_udf(_nfc, "string")

@@ -42,7 +42,7 @@ def chosen(d: Definition, schema: T.StructType) -> dict[str, Column]:
     """
     out = {}
     for f in d.fields:
-        a, b = F.col(f"`source_{f.name}`"), F.col(f"`survivor_{f.name}`")
+        a, b = F.col(f"`source__{f.name}`"), F.col(f"`survivor__{f.name}`")
         how = compare.resolution(f, a, b, schema[f.name].dataType, d.logical.get(f.name))
         pick = F.element_at("choices", F.lit(f.name))
         out[f.name] = F.when(pick == "source", a).when(pick == "survivor", b).when(how == "take_source", a).otherwise(b)
@@ -84,7 +84,7 @@ def audit_payload(d: Definition, schema: T.StructType) -> Column:
     """JSON of a joined pair: per field resolution and choice, and the values where the field is audited."""
     parts = []
     for f in d.fields:
-        a, b, kind = F.col(f"`source_{f.name}`"), F.col(f"`survivor_{f.name}`"), schema[f.name].dataType
+        a, b, kind = F.col(f"`source__{f.name}`"), F.col(f"`survivor__{f.name}`"), schema[f.name].dataType
         after = chosen(d, schema)[f.name]
         show = lambda c, f=f, kind=kind: typed(c, kind, d.logical.get(f.name)) if f.audited else F.lit(None).cast("struct<type:string,value:string>")
         parts.append(F.struct(F.lit(f.name).alias("field"), compare.resolution(f, a, b, kind, d.logical.get(f.name)).alias("resolution"), F.element_at("choices", F.lit(f.name)).alias("choice"), show(b).alias("before"), show(after).alias("after")))
@@ -111,9 +111,9 @@ def ledger_rows(d: Definition, records: DataFrame, plans: DataFrame, context, do
         F.lit(context.scope).alias("scope_id"),
         F.lit(domain).alias("retirement_domain"),
         "source_id",
-        key_domain(F.col(f"source_{d.key}"), kind).alias("source_id_type"),
+        key_domain(F.col(f"source__{d.key}"), kind).alias("source_id_type"),
         "survivor_id",
-        key_domain(F.col(f"survivor_{d.key}"), kind).alias("survivor_id_type"),
+        key_domain(F.col(f"survivor__{d.key}"), kind).alias("survivor_id_type"),
         F.lit(context.actor).alias("actor_ref"),
         F.lit(d.revision).alias("definition_revision"),
         encrypt(audit_payload(d, records.schema), audit_key).alias("audit_payload"),

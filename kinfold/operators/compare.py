@@ -1,7 +1,7 @@
 """Comparing the two records of each pair, and planning their merge.
 
 A pair has source_id and survivor_id (keys as text). Joined to its records it has every
-column twice: source_<column> and survivor_<column>.
+column twice: source__<column> and survivor__<column>.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def joined(d: Definition, pairs: DataFrame, records: DataFrame) -> DataFrame:
     """The pairs whose two records are both there, with the columns of both."""
     out = pairs
     for side in ("source", "survivor"):
-        own = records.select(*[F.col(f"`{c}`").alias(f"{side}_{c}") for c in records.columns], F.col(f"`{d.key}`").cast("string").alias("_key"))
+        own = records.select(*[F.col(f"`{c}`").alias(f"{side}__{c}") for c in records.columns], F.col(f"`{d.key}`").cast("string").alias("_key"))
         out = out.join(own, F.col(f"{side}_id") == F.col("_key")).drop("_key")
     return out
 
@@ -65,7 +65,7 @@ def comparison(source: Column, survivor: Column) -> Column:
 
 
 def _difference(d: Definition, f: MergeField, kind: T.DataType) -> Column:
-    a, b, logical = F.col(f"`source_{f.name}`"), F.col(f"`survivor_{f.name}`"), d.logical.get(f.name)
+    a, b, logical = F.col(f"`source__{f.name}`"), F.col(f"`survivor__{f.name}`"), d.logical.get(f.name)
     how = resolution(f, a, b, kind, logical)
     ta, tb = typed(a, kind, logical), typed(b, kind, logical)
     proposed = F.when(how.isin("both_missing", "take_source"), ta).otherwise(tb)
@@ -196,6 +196,14 @@ def fingerprints(d: Definition, pairs: DataFrame, records: DataFrame, key: bytes
     return p.select(*PAIR, keyed(key, ["pair", d.id], body).alias("fingerprint"))
 
 
+def _is_field(name: str):
+    return lambda x: x["field"] == name
+
+
+def _prefixed(text: str):
+    return lambda x: F.concat(F.lit(text), x)
+
+
 def plan(d: Definition, pairs: DataFrame, records: DataFrame, children: Mapping[str, DataFrame], ledger: DataFrame | None, domain: str, key: bytes, memberships: DataFrame | None = None) -> DataFrame:
     """One plan per pair: differences, impacts, blockers, reasons and fingerprint.
 
@@ -209,12 +217,12 @@ def plan(d: Definition, pairs: DataFrame, records: DataFrame, children: Mapping[
     both = joined(d, pairs.select(*PAIR).where("source_id <> survivor_id"), records)
     p = both.withColumn("differences", differences(d, schema))
     if d.validator is not None:
-        chosen = {f.name: F.when(F.element_at(F.filter("differences", lambda x, n=f.name: x["field"] == n), 1)["resolution"].isin("both_missing", "take_source"), F.col(f"source_{f.name}")).otherwise(F.col(f"survivor_{f.name}")) for f in d.fields}
+        chosen = {f.name: F.when(F.element_at(F.filter("differences", _is_field(f.name)), 1)["resolution"].isin("both_missing", "take_source"), F.col(f"source__{f.name}")).otherwise(F.col(f"survivor__{f.name}")) for f in d.fields}
         errors = p.select(*PAIR, *[c.alias(n) for n, c in chosen.items()]).select(*PAIR, d.validator().alias("errors"))
     else:
         errors = None
-    titles = F.col(f"survivor_{d.title}") if d.title else None
-    p = p.select(*PAIR, plan_title(titles, F.col(f"survivor_{d.key}")).alias("survivor_title"), d.authorizer.pair().alias("permitted"), "differences")
+    titles = F.col(f"survivor__{d.title}") if d.title else None
+    p = p.select(*PAIR, plan_title(titles, F.col(f"survivor__{d.key}")).alias("survivor_title"), d.authorizer.pair().alias("permitted"), "differences")
     p = pairs.select(*PAIR).distinct().join(p, PAIR, "left")
     if ledger is not None:
         gone = ledger.where(F.col("retirement_domain") == domain).select("source_id", F.lit(True).alias("retired")).distinct()
@@ -230,7 +238,7 @@ def plan(d: Definition, pairs: DataFrame, records: DataFrame, children: Mapping[
         p = p.join(one, PAIR, "left").join(hit, PAIR, "left")
         impact_list.append(F.col(f"_i_{r.name}"))
         relation_blockers = F.concat(relation_blockers, F.when(F.col(f"_l_{r.name}"), F.array(F.lit(f"merge_too_large:{r.name}"))).otherwise(F.array().cast("array<string>")), F.when(F.col(f"_c_{r.name}"), F.array(F.lit(f"collision:{r.name}"))).otherwise(F.array().cast("array<string>")))
-        moved = child_ids(r, pairs, children[r.name]).select(*PAIR, F.transform("child_ids", lambda x, n=r.name: F.concat(F.lit(f"{n}/"), x)).alias("child_ids"))
+        moved = child_ids(r, pairs, children[r.name]).select(*PAIR, F.transform("child_ids", _prefixed(f"{r.name}/")).alias("child_ids"))
         ids = moved if ids is None else ids.unionByName(moved).groupBy(*PAIR).agg(F.flatten(F.collect_list("child_ids")).alias("child_ids"))
     if errors is not None:
         p = p.join(errors, PAIR, "left")

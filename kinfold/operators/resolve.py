@@ -24,15 +24,17 @@ def is_retired(rows: DataFrame, ledger: DataFrame, domain: str) -> DataFrame:
 def survivors(ids: DataFrame, ledger: DataFrame, domain: str, visible: DataFrame | None = None, max_hops: int = MAX_HOPS) -> DataFrame:
     """record_id, survivor_id, hops, status for each record_id.
 
-    The chain is followed one join a hop; the plan has a fixed number of joins on the ledger's
-    key. status: resolved; unresolvable for a loop or more than ``max_hops`` hops; invisible
-    where the survivor is not in ``visible`` (record_id).
+    The ledger is composed with itself until its steps span more than ``max_hops`` hops, which
+    takes the logarithm of that many joins of the ledger, and one join with the ids. status:
+    resolved; unresolvable for a loop or more than ``max_hops`` hops; invisible where the
+    survivor is not in ``visible`` (record_id).
     """
-    edges = ledger.where(F.col("retirement_domain") == domain).select(F.col("source_id").alias("_s"), F.col("survivor_id").alias("_t"))
-    out = ids.select("record_id").distinct().withColumn("at", F.col("record_id")).withColumn("hops", F.lit(0))
-    for _ in range(max_hops + 1):
-        step = out.join(edges, out["at"] == edges["_s"], "left")
-        out = step.select("record_id", F.coalesce("_t", "at").alias("at"), (F.col("hops") + F.col("_t").isNotNull().cast("int")).alias("hops"))
+    steps = ledger.where(F.col("retirement_domain") == domain).select(F.col("source_id").alias("_s"), F.col("survivor_id").alias("_t"), F.lit(1).alias("_h"))
+    for _ in range(max_hops.bit_length()):
+        on = steps.select(F.col("_s").alias("_t"), F.col("_t").alias("_t2"), F.col("_h").alias("_h2"))
+        steps = steps.join(on, "_t", "left").select("_s", F.coalesce("_t2", "_t").alias("_t"), (F.col("_h") + F.coalesce("_h2", F.lit(0))).alias("_h"))
+    out = ids.select("record_id").distinct().join(steps, F.col("record_id") == F.col("_s"), "left")
+    out = out.select("record_id", F.coalesce("_t", "record_id").alias("at"), F.coalesce("_h", F.lit(0)).alias("hops"))
     status = F.when(F.col("hops") > max_hops, "unresolvable")
     if visible is not None:
         seen = visible.select(F.col("record_id").alias("_v")).distinct()

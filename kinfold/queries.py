@@ -601,7 +601,7 @@ def _chain_ledger(spark, d) -> DataFrame:
 
 _CHAIN = """with recursive e as (select p_partkey s, case when (p_partkey // 16) % 10 = 0 and p_partkey % 16 = 1 then p_partkey + 2 else p_partkey - 1 end t from part where p_partkey % 16 > 0 and p_partkey % 16 <= 12),
 c as (select p_partkey r, p_partkey cur, 0 hops from part union all select r, t, hops + 1 from c join e on s = cur where hops <= 10),
-m as (select r, arg_max(at, hops) cur, max(hops) hops from c group by r)
+m as (select r, arg_max(cur, hops) cur, max(hops) hops from c group by r)
 select r::varchar record_id, case when hops <= 10 then cur::varchar end survivor_id, least(hops, 10)::int hops, case when hops > 10 then 'unresolvable' else 'resolved' end status from m"""
 
 
