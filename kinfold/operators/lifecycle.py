@@ -14,7 +14,7 @@ import time
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import DomainConflict
@@ -88,23 +88,29 @@ class Scans:
 
         self.store.commit(change)
 
-    def run(self, d: Definition, context: Context, scan_id: str, records: DataFrame, ledger: DataFrame | None = None, domain: str = "") -> dict[str, int]:
-        """Index the scope's records as one batch job and publish; counters are of rows read, indexed and skipped."""
+    def run(self, d: Definition, context: Context, scan_id: str, records: DataFrame, ledger: DataFrame | None = None, domain: str = "", keys_unique: bool = True) -> dict[str, int]:
+        """Index the scope's records as one batch job and publish; counters are of rows read, indexed and skipped.
+
+        The job reads the records once and counts on the way. With ``keys_unique`` the declared
+        primary key is trusted, so a record comes once and nothing is shuffled; otherwise
+        repeated records are dropped at the cost of a shuffle by rule and record.
+        """
         scan = self.store.state()["scans"][scan_id]
         if scan["scope_id"] != context.scope or scan["config_revision"] != d.revision:
             raise DomainConflict("the scan belongs to another scope or revision")
         now = self.clock().isoformat()
         self._move(scan_id, "running", started_at=now, heartbeat_at=now)
         try:
-            own = with_record_id(d, scoped(d, records, context))
-            live = not_retired(own, ledger, domain)
-            rows = build_keys(d, live.select(*records.columns), self.key).dropDuplicates(["rule_id", "record_id", "record_id_type"])
-            folder = f"memberships/generation_id={scan['generation_id']}"
-            path = f"{self.store.root}/{folder}"
+            read, kept, made = Observation("read"), Observation("kept"), Observation("made")
+            own = with_record_id(d, scoped(d, records, context)).observe(read, F.count(F.lit(1)).alias("n"))
+            live = not_retired(own, ledger, domain).observe(kept, F.count(F.lit(1)).alias("n"))
+            rows = build_keys(d, live.select(*records.columns), self.key).observe(made, F.count(F.lit(1)).alias("n"))
+            if not keys_unique:
+                rows = rows.dropDuplicates(["rule_id", "record_id", "record_id_type"])
+            path = f"{self.store.root}/memberships/generation_id={scan['generation_id']}"
             rows.write.mode("overwrite").partitionBy("rule_id").parquet(path)
-            indexed = self.store.spark.read.parquet(path).count() if self._has_rows(path) else 0
-            scanned, kept = own.count(), live.count() if ledger is not None else None
-            counters = {"chunks": 1, "scanned": scanned, "indexed": indexed, "skipped_retired": scanned - (scanned if kept is None else kept)}
+            scanned, left, indexed = (int(o.get["n"]) for o in (read, kept, made))
+            counters = {"chunks": 1, "scanned": scanned, "indexed": indexed, "skipped_retired": scanned - left}
             self.publish(d, scan_id, counters)
             return counters
         except DomainConflict:
