@@ -14,8 +14,10 @@ join finds all pairs of different texts with Jaccard similarity of at least 0.8:
    1 - (1 - p(0.8))**runs reaches the target recall.
 4. Buckets still large after the last split (large true groups) are cut in blocks and
    every pair of blocks is compared, which is exact.
-5. Brute force over sketches proposes components of a bucket; a component is verified with
-   its members' full shingle sets. Components found in several buckets are verified once.
+5. Brute force over sketches proposes edges. Nodes connected by proposals of any run form a
+   family; all pairs of a family are verified once with their full shingle sets, in blocks
+   where it is large. So no bucket or run verifies a pair again, and nothing is reported on
+   an estimate.
 6. Links become classes by alternating large-star and small-star steps over an edge
    table, cut by checkpoints in the shared folder; nothing is gathered on the driver.
 
@@ -46,7 +48,8 @@ class Settings:
     branch: int = 2
     bucket: int = 96  #: nodes compared by brute force
     depth: int = 3
-    slack: float = 0.2  #: sketches propose pairs estimated at similarity - slack; over 4 standard deviations
+    slack: float = 0.18  #: sketches propose pairs estimated at similarity - slack; over 3.5 standard deviations
+    family: int = 256  #: nodes of a family verified in one group; larger families are cut in blocks
 
     @property
     def runs(self) -> int:
@@ -94,7 +97,7 @@ def _sketched(nodes: DataFrame, t: int) -> DataFrame:
 
 
 def _children(level: DataFrame, runs: int, s: Settings, depth: int) -> DataFrame:
-    """The rows of the next level: each bucket's nodes, by the values of its sampled coordinates."""
+    """path and node of the next level: each bucket's nodes, by the values of its sampled coordinates."""
 
     def run(batches):
         import pyarrow as pa
@@ -107,16 +110,15 @@ def _children(level: DataFrame, runs: int, s: Settings, depth: int) -> DataFrame
             rows, paths = [], []
             for r in range(runs):
                 root = mix(path + np.uint64((r + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
-                # The first coordinate from the path's hash, the others a fixed odd stride apart: distinct.
+                # The first coordinate from the path's hash, the others an odd stride apart: distinct.
                 for j in range(s.branch):
                     c = ((root >> np.uint64(40)) + np.uint64(j) * (np.uint64(2) * ((root >> np.uint64(20)) % np.uint64(s.coordinates // 4)) + np.uint64(1))) % np.uint64(s.coordinates)
                     value = sketch[np.arange(b.num_rows), c.astype(np.int64)]
                     paths.append(mix(mix(root + c) ^ (value.astype(np.uint64) << np.uint64(8)) ^ np.uint64(depth)))
                     rows.append(np.arange(b.num_rows))
-            at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).view(np.int64)), b.column(1).take(at), b.column(2).take(at)], names=["path", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).view(np.int64)), b.column(1).take(pa.array(np.concatenate(rows)))], names=["path", "node"])
 
-    return level.select("path", "node", "sketch").mapInArrow(run, "path long, node binary, sketch binary")
+    return level.select("path", "node", "sketch").mapInArrow(run, "path long, node binary")
 
 
 def _components(near: np.ndarray) -> np.ndarray:
@@ -132,13 +134,13 @@ def _components(near: np.ndarray) -> np.ndarray:
 
 
 def _proposals(buckets: DataFrame, s: Settings) -> DataFrame:
-    """members: sorted nodes of each component of two or more that the sketches of a bucket propose."""
+    """Edges (a, b) from the smallest node of each component that the sketches of a bucket propose."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            found = []
+            heads, tails = [], []
             for nodes, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 sketch = np.frombuffer(b"".join(raw), np.uint32).reshape(len(nodes), -1)
                 near = np.zeros((len(nodes), len(nodes)), bool)
@@ -147,101 +149,115 @@ def _proposals(buckets: DataFrame, s: Settings) -> DataFrame:
                 label = _components(near)
                 for root in np.unique(label):
                     own = sorted({nodes[i] for i in np.flatnonzero(label == root)})
-                    if len(own) > 1:
-                        found.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary()))], names=["members"])
+                    heads += own[:1] * (len(own) - 1)
+                    tails += own[1:]
+            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary()), pa.array(tails, pa.binary())], names=["a", "b"])
 
-    return buckets.select("nodes", "sketches").mapInArrow(run, "members array<binary>")
+    return buckets.select("nodes", "sketches").mapInArrow(run, "a binary, b binary")
 
 
 def _verified(groups: DataFrame, s: Settings) -> DataFrame:
-    """node and links: the exact neighbours of each member within its component."""
+    """node and links: the exact neighbours of each member of a family.
+
+    A group is one block of a family, whose pairs are compared, or two, of which only pairs
+    across are, so every pair of a family is compared once.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             nodes, links = [], []
-            for own, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for own, raw, block in zip(*(b.column(c).to_pylist() for c in range(3))):
                 sets = [np.frombuffer(x, np.uint64) for x in raw]
-                pool, at = np.unique(np.concatenate(sets), return_inverse=True)
-                sizes = np.array([len(x) for x in sets])
-                shared_count = np.zeros((len(own), len(own)), np.int64)
-                # Posting lists: only members that hold the same shingle meet.
-                who = np.repeat(np.arange(len(own)), sizes)
-                order = np.argsort(at, kind="stable")
-                who, cuts = who[order], np.searchsorted(at[order], np.arange(len(pool) + 1))
-                lens = np.diff(cuts)
-                for n in np.unique(lens[lens > 1]):
-                    block = who[cuts[:-1][lens == n][:, None] + np.arange(n)]
-                    # Equal posting lists are added once, with their number.
-                    lists, many = np.unique(block, axis=0, return_counts=True)
-                    for row, m in zip(lists, many):
-                        shared_count[np.ix_(row, row)] += m
-                both = sizes[:, None] + sizes[None, :] - shared_count
-                near = shared_count >= s.similarity * both - 1e-9
+                sizes, side = np.array([len(x) for x in sets]), np.array(block)
+                common = _common(sets, sizes)
+                near = common >= s.similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-9
+                if (side != side[0]).any():
+                    near &= side[:, None] != side[None, :]
                 np.fill_diagonal(near, False)
                 for i in np.flatnonzero(near.any(1)):
                     nodes.append(own[i])
                     links.append([own[j] for j in np.flatnonzero(near[i])])
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(links, pa.list_(pa.binary()))], names=["node", "links"])
 
-    return groups.select("nodes", "sets").mapInArrow(run, "node binary, links array<binary>")
+    return groups.select("nodes", "sets", "sides").mapInArrow(run, "node binary, links array<binary>")
+
+
+def _common(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The number of shingles that each two sets share."""
+    n = len(sets)
+    if n == 2:
+        k = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return np.array([[sizes[0], k], [k, sizes[1]]])
+    out = np.diag(sizes).astype(np.int64)
+    pool, at = np.unique(np.concatenate(sets), return_inverse=True)
+    who = np.repeat(np.arange(n), sizes)
+    often = np.bincount(at, minlength=len(pool))
+    kept = often[at] > 1  # a shingle of one set is in no pair
+    column = np.cumsum(often > 1) - 1
+    at, who, width = column[at[kept]], who[kept], int((often > 1).sum())
+    # Products of 0/1 matrices over a block of shingles at a time, so memory stays bounded.
+    order = np.argsort(at, kind="stable")
+    at, who = at[order], who[order]
+    for lo in range(0, width, 8192):
+        a, z = np.searchsorted(at, [lo, lo + 8192])
+        m = np.zeros((n, min(8192, width - lo)), np.float32)
+        m[who[a:z], at[a:z] - lo] = 1
+        out += (m @ m.T).astype(np.int64)
+    out[np.arange(n), np.arange(n)] = sizes
+    return out
 
 
 def _shingle_sets(rows: DataFrame) -> DataFrame:
-    """group, node and the sorted distinct shingles of each row's text, as bytes."""
+    """node and the sorted distinct shingles of its text, as bytes."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            texts, sets = b.column(2).to_pylist(), []
+            texts, sets = b.column(1).to_pylist(), []
             for lo, hi in slices(texts, 1 << 20):
                 h, bounds = shingles(texts[lo:hi])
                 sets += [np.unique(h[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["group", "node", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return rows.select("node", "text").mapInArrow(run, "node binary, shingles binary")
+
 
-    return rows.select("group", "node", "text").mapInArrow(run, "group binary, node binary, shingles binary")
+def _blocked(rows: DataFrame, group: str, n: str, size: int) -> DataFrame:
+    """Rows with key (group, a, b) and side: groups of up to ``size`` rows stay whole, larger ones
+    are cut in blocks by a hash of the node, and each two blocks make a key."""
+    blocks = F.when(F.col(n) <= size, 1).otherwise(F.ceil(F.col(n) / F.lit(size / 2))).cast("int")
+    out = rows.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return out.withColumn("key", F.struct(group, F.least("side", "_o").alias("a"), F.greatest("side", "_o").alias("b"))).drop("_o")
 
 
 def links(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """node and links (array of nodes): the different texts within the similarity, for nodes that have any."""
     s = settings
-    # One text a node: the copies are dropped before anything is compared.
     nodes = node_keys(docs).where(F.col("node").isNotNull())
-    # The sketch is a function of the text, so any copy's will do.
-    level = shared.cut(_sketched(nodes, s.coordinates).groupBy("node").agg(F.max("sketch").alias("sketch")).withColumn("path", F.lit(0).cast("long")))
-    proposals = []
+    # One row a text: the sketch is a function of it, so any copy's will do.
+    sketch = shared.cut(_sketched(nodes, s.coordinates).groupBy("node").agg(F.max("sketch").alias("sketch")))
+    level, found = sketch.withColumn("path", F.lit(0).cast("long")), None
     for depth in range(1, s.depth + 1):
-        rows = shared.cut(_children(level, s.runs if depth == 1 else 1, s, depth))
-        count = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        sized = rows.join(count, "path")
-        last = depth == s.depth
-        small = sized.where(F.col("n") <= s.bucket).withColumn("key", F.struct("path", F.lit(0).alias("a"), F.lit(0).alias("b")))
-        if last:
-            blocks = F.ceil(F.col("n") / F.lit(s.bucket / 2)).cast("int")
-            own = sized.where(F.col("n") > s.bucket).withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-            own = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            own = own.withColumn("key", F.struct("path", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")))
-            small = small.select("key", "node", "sketch").unionByName(own.select("key", "node", "sketch"))
-        packed = small.groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("m"))
-        packed = packed.select(F.col("m.node").alias("nodes"), F.col("m.sketch").alias("sketches"))
-        proposals.append(_proposals(packed, s))
-        level = sized.where(F.col("n") > s.bucket).select("path", "node", "sketch")
-    found = proposals[0]
-    for more in proposals[1:]:
-        found = found.unionByName(more)
-    found = found.withColumn("group", F.unhex(F.md5(F.concat(*[F.lit(b"")] + [F.unhex(F.array_join(F.transform("members", lambda x: F.hex(x)), ""))]))))
-    member = found.groupBy("group").agg(F.first("members").alias("members")).select("group", F.explode("members").alias("node"))
-    member = shared.cut(member)
-    needed = member.select("node").distinct()
-    text = nodes.join(needed, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
-    sets = _shingle_sets(member.join(text, "node"))
-    packed = sets.groupBy("group").agg(F.collect_list(F.struct("node", "shingles")).alias("m"))
-    packed = packed.select(F.col("m.node").alias("nodes"), F.col("m.shingles").alias("sets"))
-    exact = _verified(packed, s)
-    return exact.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+        keyed = _children(level, s.runs if depth == 1 else 1, s, depth)
+        # Only paths and nodes are dealt by path; sketches follow where two nodes meet.
+        count = keyed.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        met = shared.cut(keyed.join(count, "path"))
+        small = met if depth == s.depth else met.where(F.col("n") <= s.bucket)
+        packed = _blocked(small, "path", "n", s.bucket).join(sketch, "node").groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("m"))
+        edges = _proposals(packed.select(F.col("m.node").alias("nodes"), F.col("m.sketch").alias("sketches")), s).distinct()
+        found = edges if found is None else found.unionByName(edges)
+        level = met.where(F.col("n") > s.bucket).join(sketch, "node")
+    # Families of nodes that proposals connect, whatever the run or bucket: verified once.
+    family = shared.cut(classes(found))
+    sized = family.join(family.groupBy("root").agg(F.count("*").alias("n")), "root")
+    text = nodes.join(family.select("node"), "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
+    sets = _blocked(sized.join(_shingle_sets(text), "node"), "root", "n", s.family)
+    packed = sets.groupBy("key").agg(F.collect_list(F.struct("node", "shingles", "side")).alias("m"))
+    packed = packed.select(F.col("m.node").alias("nodes"), F.col("m.shingles").alias("sets"), F.col("m.side").alias("sides"))
+    return _verified(packed, s).groupBy("node").agg(F.flatten(F.collect_list("links")).alias("links"))
 
 
 def classes(edges: DataFrame) -> DataFrame:
