@@ -114,3 +114,17 @@ def keep_texts(docs: DataFrame, wanted) -> DataFrame:
             yield b.filter(pa.array(wanted(b.column(b.schema.get_field_index("text")).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def per_process(key, make):
+    """What ``make()`` gave in this process first, kept for later tasks of the same Python worker.
+
+    Functions of this package arrive by value, so their own module globals last one task only.
+    """
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_kinfold_process", types.ModuleType("_kinfold_process")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

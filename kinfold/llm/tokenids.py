@@ -22,6 +22,7 @@ table writes no shard; further columns are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterable
 
@@ -160,46 +161,100 @@ class Shard:
 # -- encoding ----------------------------------------------------------------------------
 
 
+def _byte_characters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies use for each byte.
+
+    Printable Latin-1 bytes stand for themselves, the others for U+0100 and on, in order.
+    """
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
 class Encoder:
     """Text to the bytes of its ids, through the tokenizers library.
 
     Where the tokenizer's own rules split at blanks and line feeds and nothing it does looks
     across them, equal words between blanks have equal ids, so each distinct word goes to
-    the library once and its ids are kept (at most ``keep`` words at a time).
+    the library once and its ids are kept, in two generations of at most ``keep`` words:
+    words in use move to the younger one, the others go. Of a word that is Latin letters and
+    stops, letters and stops are parted and lower-cased here, as the tokenizer would, and go
+    straight to its model; all other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, id_bytes: int, by_word: bool, keep: int = 200_000):
+    _STOPS = ".,;:!?"
+
+    def __init__(self, path: str, id_bytes: int, by_word: bool, keep: int = 250_000):
         from tokenizers import Tokenizer
 
-        self._encode, self._kind, self._by_word, self._keep = Tokenizer.from_file(path).encode_batch, f"<u{id_bytes}", by_word, keep
-        self._known: dict[str, bytes] = {"": b""}
+        t = Tokenizer.from_file(path)
+        self._encode = getattr(t, "encode_batch_fast", t.encode_batch)
+        self._model, self._tokenizer = t.model, t  # the model lives with its tokenizer
+        self._kind, self._by_word, self._keep = f"<u{id_bytes}", by_word, keep
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._table = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, self._kind).tobytes() for x in self._encode(texts, add_special_tokens=False)]
 
+    def _piece(self, text: str) -> bytes:
+        found = self._young.get(text)
+        if found is None:
+            found = self._old.get(text)
+            if found is None:
+                mapped = text.encode().decode("latin-1").translate(self._table)
+                found = np.array([x.id for x in self._model.tokenize(mapped)], self._kind).tobytes()
+            self._young[text] = found
+        return found
+
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a simple word, or None."""
+        core = word.rstrip(self._STOPS)
+        simple = core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core and unicodedata.is_normalized("NFC", core))
+        if not simple:
+            return None
+        tail = word[len(core) :]
+        return self._piece(core.lower()) + (self._piece(tail) if tail else b"")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self._by_word:
             return self._library([t or "" for t in texts])
         out = []
         for t in texts:
             parts = (t or "").replace("\n", " ").split(" ")
-            fresh = [w for w in dict.fromkeys(parts) if w not in self._known]
-            if len(self._known) + len(fresh) > self._keep:
-                self._known = {"": b""}
-                fresh = list(dict.fromkeys(parts))
-            for lo in range(0, len(fresh), 4096):
-                own = fresh[lo : lo + 4096]
-                self._known.update(zip(own, self._library(own)))
-            out.append(b"".join(map(self._known.__getitem__, parts)))
+            young, odd = self._young, []
+            for w in dict.fromkeys(parts):
+                if w in young:
+                    continue
+                ids = self._old.get(w)
+                if ids is None:
+                    ids = self._word(w)
+                if ids is None:
+                    odd.append(w)
+                else:
+                    young[w] = ids
+            for lo in range(0, len(odd), 1024):
+                young.update(zip(odd[lo : lo + 1024], self._library(odd[lo : lo + 1024])))
+            out.append(b"".join(map(young.__getitem__, parts)))
+            if len(young) > self._keep:
+                self._old, self._young = young, {}
         return out
 
 
+def _encoder(path: str, end_id: int) -> tuple[int, Encoder]:
+    from tokenizers import Tokenizer
+
+    id_bytes = 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+    return id_bytes, Encoder(path, id_bytes, splits_at_blanks(path))
+
+
 def splits_at_blanks(path: str) -> bool:
     """Whether the tokenizer file provably treats words between blanks on their own.
 
-    It must drop white space in its pre-tokenizer's pattern, normalise only by steps that
-    do not look across blanks (NFC, lower case, white-space folding), and have no
-    post-processor or added token with a blank in it.
+    It must drop white space in its pre-tokenizer's pattern and then only map bytes, normalise
+    only by steps that do not look across blanks (NFC, lower case, white-space folding), and
+    have no post-processor or added token with a blank in it.
     """
     import json
 
@@ -210,9 +265,12 @@ def splits_at_blanks(path: str) -> bool:
     plain = all(s["type"] in ("NFC", "Lowercase") or s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in steps)
     pre = t.get("pre_tokenizer") or {}
     first = (pre.get("pretokenizers") or [pre])[0]
-    drops = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and "[^\\s" in str(first.get("pattern")) and not any(x in str(first.get("pattern")) for x in ("(?", " ?", "\\s+"))
+    pattern = first.get("pattern", {}).get("Regex", "")
+    drops = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and "[^\\s" in pattern and not any(x in pattern for x in ("(?", " ?", "\\s+", "\\s*", "$", "\\b"))
     tokens = all(not any(c.isspace() for c in a["content"]) and not a["lstrip"] and not a["rstrip"] and not a["single_word"] for a in t.get("added_tokens", []))
-    return bool(plain and drops and tokens and not t.get("post_processor"))
+    rest = pre.get("pretokenizers", [])[1:]
+    bytes_only = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0].get("add_prefix_space") and not rest[0].get("use_regex")
+    return bool(plain and drops and tokens and bytes_only and any(s["type"] == "Lowercase" for s in steps) and not t.get("post_processor"))
 
 
 def write(docs: DataFrame, tokenizer: str | Callable[[], str], out_dir: str, end_id: int = 2, shards: int | None = None) -> list[dict]:
@@ -237,10 +295,9 @@ def write(docs: DataFrame, tokenizer: str | Callable[[], str], out_dir: str, end
             if not len(pdf):
                 continue
             if encoder is None:
-                from tokenizers import Tokenizer
-
-                id_bytes = 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-                encoder, end = Encoder(path, id_bytes, splits_at_blanks(path)), np.array([end_id], f"<u{id_bytes}").tobytes()
+                os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
+                id_bytes, encoder = shared.per_process(("encoder", path, end_id), lambda: _encoder(path, end_id))
+                end = np.array([end_id], f"<u{id_bytes}").tobytes()
                 fs.create_dir(folder, recursive=True)
                 draft, name = f"{folder}/.part-{task.partitionId():06d}-{task.taskAttemptId()}", f"{folder}/shard-{task.partitionId():06d}.ids"
                 stream = fs.open_output_stream(draft)
