@@ -390,11 +390,11 @@ def scan_prunable(spark, d):
 
 @_query(f"with {_LEDGER_SQL}, {_members_sql('(select * from part where p_partkey::varchar not in (select source_id from ledger))')} select (select count(*) from part) scanned, (select count(*) from members) indexed, (select count(*) from ledger) skipped_retired")
 def scan_counters(spark, d):
+    """Read, indexed and skipped rows in one pass."""
     own = keys.with_record_id(PARTS, _part(spark, d))
-    marked = resolve.is_retired(own, _part_ledger(spark, d), DOMAIN)
-    counts = marked.agg(F.count("*").alias("scanned"), F.count_if("retired").alias("skipped_retired"))
-    live = suggest.not_retired(own, _part_ledger(spark, d), DOMAIN)
-    return counts.crossJoin(keys.build_keys(PARTS, live, KEY).agg(F.count("*").alias("indexed")))  # one row each
+    n = sum((F.when(keys.rule_digest(PARTS, r, KEY, own.schema).isNotNull(), 1).otherwise(0) for r in PARTS.rules), F.lit(0))
+    marked = resolve.is_retired(own.withColumn("n_keys", n), _part_ledger(spark, d), DOMAIN)
+    return marked.agg(F.count("*").alias("scanned"), F.sum(F.when(~F.col("retired"), F.col("n_keys"))).alias("indexed"), F.count_if("retired").alias("skipped_retired"))
 
 
 # -- comparison and plans -------------------------------------------------------------------
