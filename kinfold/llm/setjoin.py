@@ -156,18 +156,19 @@ def _proposals(buckets: DataFrame, s: Settings) -> DataFrame:
     return buckets.select("nodes", "sketches").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(groups: DataFrame, s: Settings) -> DataFrame:
-    """node and links: the exact neighbours of each member of a family.
+def _verified(groups: DataFrame, s: Settings, listed: bool) -> DataFrame:
+    """node, n_links, head and links: the exact neighbours of each member of a family that has any.
 
     A group is one block of a family, whose pairs are compared, or two, of which only pairs
-    across are, so every pair of a family is compared once.
+    across are, so every pair of a family is compared once. ``head`` is the smallest node that
+    the group's links connect it to; ``links`` is empty unless they are to be ``listed``.
     """
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            nodes, links = [], []
+            nodes, counts, heads, links = [], [], [], []
             for own, raw, block in zip(*(b.column(c).to_pylist() for c in range(3))):
                 sets = [np.frombuffer(x, np.uint64) for x in raw]
                 sizes, side = np.array([len(x) for x in sets]), np.array(block)
@@ -176,12 +177,18 @@ def _verified(groups: DataFrame, s: Settings) -> DataFrame:
                 if (side != side[0]).any():
                     near &= side[:, None] != side[None, :]
                 np.fill_diagonal(near, False)
-                for i in np.flatnonzero(near.any(1)):
+                linked = np.flatnonzero(near.any(1))
+                label, least = _components(near), {}
+                for i in linked:
+                    least[label[i]] = min(own[i], least.get(label[i], own[i]))
+                for i in linked:
                     nodes.append(own[i])
-                    links.append([own[j] for j in np.flatnonzero(near[i])])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(links, pa.list_(pa.binary()))], names=["node", "links"])
+                    counts.append(int(near[i].sum()))
+                    heads.append(least[label[i]])
+                    links.append([own[j] for j in np.flatnonzero(near[i])] if listed else [])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(heads, pa.binary()), pa.array(links, pa.list_(pa.binary()))], names=["node", "n_links", "head", "links"])
 
-    return groups.select("nodes", "sets", "sides").mapInArrow(run, "node binary, links array<binary>")
+    return groups.select("nodes", "sets", "sides").mapInArrow(run, "node binary, n_links long, head binary, links array<binary>")
 
 
 def _common(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
@@ -235,7 +242,11 @@ def _blocked(rows: DataFrame, group: str, n: str, size: int) -> DataFrame:
 
 def links(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """node and links (array of nodes): the different texts within the similarity, for nodes that have any."""
-    s = settings
+    return _joined(docs, settings, True).groupBy("node").agg(F.flatten(F.collect_list("links")).alias("links"))
+
+
+def _joined(docs: DataFrame, s: Settings, listed: bool) -> DataFrame:
+    """The verified rows of all families; a node of a family of several blocks has several."""
     nodes = node_keys(docs).where(F.col("node").isNotNull())
     # One row a text: the sketch is a function of it, so any copy's will do.
     sketch = shared.cut(_sketched(nodes, s.coordinates).groupBy("node").agg(F.max("sketch").alias("sketch")))
@@ -257,7 +268,7 @@ def links(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     sets = _blocked(sized.join(_shingle_sets(text), "node"), "root", "n", s.family)
     packed = sets.groupBy("key").agg(F.collect_list(F.struct("node", "shingles", "side")).alias("m"))
     packed = packed.select(F.col("m.node").alias("nodes"), F.col("m.shingles").alias("sets"), F.col("m.side").alias("sides"))
-    return _verified(packed, s).groupBy("node").agg(F.flatten(F.collect_list("links")).alias("links"))
+    return _verified(packed, s, listed)
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -289,12 +300,14 @@ def _has_words(text):
 
 def _classed(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, node, class_id, n_links, n_copies of every row; node is null for rows without words."""
-    found = shared.cut(links(docs, s))
-    edges = found.select(F.col("node").alias("a"), F.explode("links").alias("b"))
+    found = shared.cut(_joined(docs, s, False).drop("links"))
+    # One edge a node and group keeps what the links connect; the links themselves are only counted.
+    edges = found.select(F.col("node").alias("a"), F.col("head").alias("b"))
+    counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     keyed = shared.cut(node_keys(docs).select("doc_id", F.when(_has_words(F.col("text")), F.col("node")).alias("node")))
     known = keyed.where(F.col("node").isNotNull())
     per_node = known.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"))
-    per_node = per_node.join(found.select("node", F.size("links").alias("n_links")), "node", "left").join(classes(edges), "node", "left")
+    per_node = per_node.join(counts, "node", "left").join(classes(edges), "node", "left")
     per_node = shared.cut(per_node.withColumn("root", F.coalesce("root", "node")))
     named = per_node.groupBy("root").agg(F.min("first_id").alias("class_id"))
     per_node = per_node.join(named, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")

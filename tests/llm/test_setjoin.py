@@ -51,6 +51,20 @@ def test_large_groups_and_frequent_passages(spark):
     assert got(table(spark, rows), sj.Settings(bucket=8, family=40)) == sorted(map(str, classes(rows)))
 
 
+def test_links_are_listed(spark):
+    rows = corpus(20, 8)
+    df = table(spark, rows)
+    text = {bytes(r["node"]): r["text"] for r in sj.node_keys(df).collect()}
+    got_ = {text[bytes(r["node"])]: {text[bytes(x)] for x in r["links"]} for r in sj.links(df, sj.Settings(family=8)).collect()}
+    want = {}
+    for a in set(text.values()):
+        for b in set(text.values()) - {a}:
+            both = len(shingles(a) & shingles(b))
+            if both >= 0.8 * len(shingles(a) | shingles(b)) - 1e-9:
+                want.setdefault(a, set()).add(b)
+    assert got_ == want and want
+
+
 def test_recall_plan():
     s = sj.Settings()
     p = 1.0
