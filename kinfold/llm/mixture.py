@@ -31,6 +31,8 @@ from . import shared
 LEAF = ("domain", "lang", "source")
 #: Rows of a hash bucket, on average.
 BUCKET_ROWS = 4096
+#: Rows of a leaf table (a few hundred bytes each) up to which it is broadcast.
+BROADCAST_LEAVES = 50_000
 
 
 @dataclass(frozen=True)
@@ -73,8 +75,8 @@ def _rows(docs: DataFrame, domain: Column | None) -> DataFrame:
     return docs.select(*named, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("n_tokens"))
 
 
-def share_out(children: DataFrame, parents: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Budgets of children (keys, order, weight, cap) from those of their parents (keys, budget).
+def share_out(children: DataFrame, parents: DataFrame | int, keys: list[str], order: str) -> DataFrame:
+    """Budgets of children (keys, order, weight, cap) from those of their parents (keys, budget), or from the root's.
 
     With children sorted by cap / weight, those that the level of water reaches are filled;
     the others share the rest by weight.
@@ -83,7 +85,7 @@ def share_out(children: DataFrame, parents: DataFrame, keys: list[str], order: s
     if keys:
         c, part = c.join(parents, keys), Window.partitionBy(*keys)
     else:
-        c, part = c.crossJoin(parents), Window.partitionBy(F.lit(1))  # one row of parents: the root
+        c, part = c.withColumn("budget", F.lit(parents).cast("long")), Window.partitionBy(F.lit(1))  # one row a domain
     upto = part.orderBy("ratio", order).rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("filled", F.sum("cap").over(upto)).withColumn("left", F.sum("weight").over(part) - F.sum("weight").over(upto))
     c = c.withColumn("full", F.col("filled").cast("double") + F.col("ratio") * F.col("left") <= F.col("budget").cast("double"))
@@ -94,25 +96,38 @@ def share_out(children: DataFrame, parents: DataFrame, keys: list[str], order: s
     return c.withColumn("got", got).select(*keys, order, F.col("got").alias("budget"))
 
 
+def _join_small(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a leaf-sized table that is kept already, without dealing rows by leaf.
+
+    A table of up to ``BROADCAST_LEAVES`` rows is broadcast; a larger one is repeated once per
+    salt, so that a leaf with a third of all rows spreads over many tasks.
+    """
+    if small.count() <= BROADCAST_LEAVES:
+        return rows.join(F.broadcast(small), keys)
+    salts = 64
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
     """domain, lang, source, budget, n_tokens and n_rows of each leaf. The leaf table is one row a source."""
     leaves = shared.cut(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")))
     cap = F.sum(F.col("n_tokens") * mix.max_epochs).alias("cap")
-    total = leaves.agg(F.floor(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("double") * mix.share).cast("long").alias("budget"))
+    total = leaves.agg(F.floor(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("double") * mix.share).cast("long")).first()[0]
     top = share_out(leaves.groupBy("domain").agg(cap).withColumn("weight", _weight(F.col("domain"), mix.domains)), total, [], "domain")
     mid = share_out(leaves.groupBy("domain", "lang").agg(cap).withColumn("weight", _weight(F.col("lang"), mix.langs)), top, ["domain"], "lang")
     low = share_out(leaves.groupBy(*LEAF).agg(cap).withColumn("weight", _weight(F.col("source"), mix.sources)), mid, ["domain", "lang"], "source")
-    return shared.cut(low.join(leaves, list(LEAF)).where("n_tokens > 0"))
+    return low.join(leaves, list(LEAF)).where("n_tokens > 0")
 
 
 def select(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None = None) -> DataFrame:
     """The rows that the mix takes, with ``copies`` and the leaf; the input's columns are named in_*."""
     rows = _rows(docs, domain)
     leaf = budgets(rows, mix).withColumn("epochs", F.floor(F.col("budget") / F.col("n_tokens")).cast("long"))
-    leaf = leaf.select(*LEAF, "epochs", (F.col("budget") - F.col("epochs") * F.col("n_tokens")).alias("rest"), F.ceil(F.col("n_rows") / BUCKET_ROWS).cast("long").alias("buckets"))
+    leaf = shared.cut(leaf.select(*LEAF, "epochs", (F.col("budget") - F.col("epochs") * F.col("n_tokens")).alias("rest"), F.ceil(F.col("n_rows") / BUCKET_ROWS).cast("long").alias("buckets")))
     key = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     place = F.struct(F.col("key"), F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("n_tokens").alias("n"))
-    light = rows.select("doc_id", *LEAF, "n_tokens").join(leaf.where("rest > 0"), list(LEAF)).withColumn("key", key)
+    light = _join_small(rows.select("doc_id", *LEAF, "n_tokens"), leaf.where("rest > 0"), list(LEAF)).withColumn("key", key)
     light = light.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * F.col("buckets") / float(1 << 32)).cast("long"))
     light = light.select(*LEAF, "bucket", "rest", "n_tokens", place.alias("place"))
     sums = light.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("own"), F.first("rest").alias("rest"))
@@ -120,13 +135,13 @@ def select(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None = None)
     # The one bucket of each leaf in which the tokens run out, and the last one they reach whole.
     sums = shared.cut(sums.withColumn("before", before).where(F.col("before") <= F.col("rest")).select(*LEAF, "bucket", "own", "before"))
     edge = sums.groupBy(*LEAF).agg(F.max_by(F.struct("bucket", "before", "own"), "bucket").alias("e"))
-    edge = edge.select(*LEAF, F.col("e.bucket").alias("bucket"), F.col("e.before").alias("before"))
-    inside = light.join(edge, [*LEAF, "bucket"])
+    edge = shared.cut(edge.select(*LEAF, F.col("e.bucket").alias("bucket"), F.col("e.before").alias("before")))
+    inside = _join_small(light.withColumn("doc_id", F.col("place.id")), edge, [*LEAF, "bucket"])
     run = F.sum("n_tokens").over(Window.partitionBy(*LEAF, "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     cut = inside.withColumn("upto", F.col("before") + run).where("upto <= rest").groupBy(*LEAF).agg(F.max("place").alias("last"))
     cut = edge.join(cut, list(LEAF), "left").select(*LEAF, F.col("bucket").alias("edge"), "last")
     plan = shared.cut(leaf.join(cut, list(LEAF), "left"))
-    out = rows.join(plan, list(LEAF)).withColumn("key", key)
+    out = _join_small(rows, plan, list(LEAF)).withColumn("key", key)
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * F.col("buckets") / float(1 << 32)).cast("long")
     extra = F.when(F.col("rest") <= 0, 0).when(bucket < F.col("edge"), 1).when((bucket == F.col("edge")) & (place <= F.col("last")), 1).otherwise(0)
     return out.withColumn("copies", (F.col("epochs") + extra).cast("long")).where("copies > 0").drop("epochs", "rest", "buckets", "edge", "last", "key")

@@ -60,8 +60,11 @@ def test_shortage_goes_to_siblings_first(spark):
                 assert got.get((d, x, k), 0) == pytest.approx(n, abs=4)
 
 
-def test_prefix_over_many_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("salted", [False, True])
+def test_prefix_over_many_buckets(spark, monkeypatch, salted):
     monkeypatch.setattr(mixture, "BUCKET_ROWS", 7)
+    if salted:
+        monkeypatch.setattr(mixture, "BROADCAST_LEAVES", 0)
     docs = spark.createDataFrame([(i, "w " * (i % 9 + 1), "en", "src0", "x") for i in range(500)], SCHEMA)
     how = mixture.Mix(share=0.63, max_epochs=1)
     out = mixture.select(docs, how).collect()
