@@ -81,29 +81,32 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Model:
     size = 1 << s.bits
     if not texts:
         return Model(np.zeros(size, np.float32), -8.0, s)
-    feats, sents, owners, at, base = [], [], [], 0, 0
+    y, n_docs = np.asarray(labels, float), len(texts)
+    parts, owners, base = [], [], 0
+    often, toxic = np.zeros(size, np.int64), np.zeros(size)
     for lo, hi in slices(texts):
         slots, sentence, owner, _, _ = featurise(texts[lo:hi], s)
-        feats.append(slots)
-        sents.append(sentence + base)
-        owners.append(owner + at)
+        # A feature's document count, from its distinct (document, slot) pairs; texts are whole in a slice.
+        pairs = np.unique((owner[sentence].astype(np.int64)[:, None] * size + slots).ravel())
+        often += np.bincount(pairs % size, minlength=size)
+        toxic += np.bincount(pairs % size, weights=y[lo + pairs // size], minlength=size)
+        parts.append((slots, (sentence + base).astype(np.int32)))
+        owners.append(owner + lo)
         base += len(owner)
-        at += hi - lo
-    slots, sent, owner = np.concatenate(feats), np.concatenate(sents), np.concatenate(owners)
-    y = np.asarray(labels, float)
-    n_docs, n_sent = len(texts), len(owner)
-    # A feature's document count, from its distinct (document, slot) pairs.
-    pairs = np.unique((owner[sent].astype(np.int64)[:, None] * size + slots).ravel())
-    often = np.bincount(pairs % size, minlength=size)
-    toxic = np.bincount(pairs % size, weights=y[pairs // size], minlength=size)
     p = y.mean()
     z = (toxic - often * p) / np.sqrt(np.maximum(often * p * (1 - p), 1e-9))
     kept = np.flatnonzero((often >= s.min_docs) & (z >= s.min_z))
-    to = np.full(size, -1, np.int64)
+    to = np.full(size, -1, np.int32)
     to[kept] = np.arange(len(kept))
-    f = to[slots].ravel()
-    who = np.repeat(sent, slots.shape[1])[f >= 0]
-    f = f[f >= 0]
+    f, who = [], []
+    while parts:
+        slots, sentence = parts.pop()
+        own = to[slots]
+        word, column = np.nonzero(own >= 0)
+        f.append(own[word, column])
+        who.append(sentence[word])
+    f, who, owner = np.concatenate(f), np.concatenate(who), np.concatenate(owners)
+    n_sent = len(owner)
     w, b = np.zeros(len(kept)), -6.0
     m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
     for step in range(1, s.epochs + 1):
