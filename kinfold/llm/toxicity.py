@@ -84,7 +84,7 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Model:
     y, n_docs = np.asarray(labels, float), len(texts)
     parts, owners, base = [], [], 0
     often, toxic = np.zeros(size, np.int64), np.zeros(size)
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, 1 << 19):  # small slices: the driver's memory is the limit
         slots, sentence, owner, _, _ = featurise(texts[lo:hi], s)
         # A feature's document count, from its distinct (document, slot) pairs; texts are whole in a slice.
         pairs = np.unique((owner[sentence].astype(np.int64)[:, None] * size + slots).ravel())
