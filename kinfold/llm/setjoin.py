@@ -49,6 +49,7 @@ class Settings:
     bucket: int = 96  #: nodes compared by brute force
     depth: int = 3
     slack: float = 0.18  #: sketches propose pairs estimated at similarity - slack; over 3.5 standard deviations
+    block: int = 512  #: nodes of a bucket that cannot be split, compared by sketches in one group
     family: int = 256  #: nodes of a family verified in one group; larger families are cut in blocks
 
     @property
@@ -257,7 +258,7 @@ def _joined(docs: DataFrame, s: Settings, listed: bool) -> DataFrame:
         count = keyed.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         met = shared.cut(keyed.join(count, "path"))
         small = met if depth == s.depth else met.where(F.col("n") <= s.bucket)
-        packed = _blocked(small, "path", "n", s.bucket).join(sketch, "node").groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("m"))
+        packed = _blocked(small, "path", "n", s.block if depth == s.depth else s.bucket).join(sketch, "node").groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("m"))
         edges = _proposals(packed.select(F.col("m.node").alias("nodes"), F.col("m.sketch").alias("sketches")), s).distinct()
         found = edges if found is None else found.unionByName(edges)
         level = met.where(F.col("n") > s.bucket).join(sketch, "node")

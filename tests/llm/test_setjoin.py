@@ -48,7 +48,7 @@ def test_large_groups_and_frequent_passages(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows += [passage + " " + " ".join(f"q{rng.randrange(9000)}" for _ in range(60)) for _ in range(80)]
     rows = list(enumerate(rows))
-    assert got(table(spark, rows), sj.Settings(bucket=8, family=40)) == sorted(map(str, classes(rows)))
+    assert got(table(spark, rows), sj.Settings(bucket=8, block=24, family=40)) == sorted(map(str, classes(rows)))
 
 
 def test_links_are_listed(spark):
