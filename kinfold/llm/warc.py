@@ -58,12 +58,11 @@ def segment_name(segment: int) -> str:
 def write(pages: DataFrame, folders: list[str], date: str = "2024-01-01T00:00:00Z", damage: Callable[[int, str | None, bytes], bytes] | None = None) -> DataFrame:
     """Write every page to each replica folder; the index, in the shared folder.
 
-    Pages are dealt to segments by ranges of page_id. Files are renamed when whole, so a task
-    that runs again leaves complete files. ``damage(page_id, url, stored)`` may change the bytes that go
+    A segment is one partition of the input, in its order, so nothing is shuffled. Files are
+    renamed when whole, so a task that runs again leaves complete files. ``damage(page_id, url, stored)`` may change the bytes that go
     to the folders after the first: it stands for decay when an audit is exercised.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         import pyarrow as pa
@@ -90,9 +89,7 @@ def write(pages: DataFrame, folders: list[str], date: str = "2024-01-01T00:00:00
             f.close()
             fs.move(f"{folder}/.{segment_name(segment)}-{attempt}", f"{folder}/{segment_name(segment)}")
 
-    order = [F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first()]
-    made = rows.repartitionByRange(parts, F.col("page_id").asc_nulls_first()).sortWithinPartitions(*order).mapInArrow(run, _INDEX)
-    return shared.cut(made)
+    return shared.cut(rows.mapInArrow(run, _INDEX))
 
 
 def leaves(index: DataFrame, folder: str) -> DataFrame:
