@@ -49,7 +49,7 @@ class Settings:
     bucket: int = 96  #: nodes compared by brute force
     depth: int = 3
     slack: float = 0.18  #: sketches propose pairs estimated at similarity - slack; over 3.5 standard deviations
-    block: int = 512  #: nodes of a bucket that cannot be split, compared by sketches in one group
+    block: int = 2048  #: nodes of a bucket that cannot be split, compared by sketches in one group
     family: int = 256  #: nodes of a family verified in one group; larger families are cut in blocks
 
     @property
