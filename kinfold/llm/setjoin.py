@@ -5,13 +5,15 @@ join finds all pairs of different texts with Jaccard similarity of at least 0.8:
 
 1. Equal texts are one node, found by their digest; copies never meet in a join.
 2. Each node has a MinHash sketch. A run of the chosen-path recursion starts with all
-   nodes; a step samples ``branch`` coordinates of the sketch by a hash of the path so far
-   and splits a bucket by the values (each value is one sampled token of the set), so
-   nodes that share the token stay together. Buckets of up to ``bucket`` nodes stop and
+   nodes; a step takes ``branch`` coordinates of the sketch, which no other place in the
+   trees of any run uses, and splits a bucket by the values (each value is one sampled token
+   of the set), so nodes that share the token stay together. Buckets of up to ``bucket`` nodes stop and
    are compared by brute force; larger ones split further, ``depth`` times at most.
 3. A pair of similarity s survives a step with s in each branch, so a run finds it with
-   probability at least p(s) = 1 - (1 - s p')**branch; runs repeat until
-   1 - (1 - p(0.8))**runs reaches the target recall.
+   probability at least p(s) = 1 - (1 - s p')**branch, whatever the other runs find. A pair
+   that meets is still lost if its sketches agree too little to be proposed, in every run
+   alike; runs repeat until (1 - p(0.8))**runs and that loss together stay within the
+   target recall.
 4. Buckets still large after the last split (large true groups) are cut in blocks and
    every pair of blocks is compared, which is exact.
 5. Brute force over sketches proposes edges. Nodes connected by proposals of any run form a
@@ -48,17 +50,34 @@ class Settings:
     branch: int = 2
     bucket: int = 96  #: nodes compared by brute force
     depth: int = 3
-    slack: float = 0.18  #: sketches propose pairs estimated at similarity - slack; over 3.5 standard deviations
+    slack: float = 0.26  #: sketches propose pairs estimated at similarity - slack; over 5 standard deviations
     block: int = 2048  #: nodes of a bucket that cannot be split, compared by sketches in one group
     family: int = 256  #: nodes of a family verified in one group; larger families are cut in blocks
 
+    @property
+    def agree(self) -> int:
+        """Equal coordinates from which sketches propose a pair."""
+        return math.ceil((self.similarity - self.slack) * self.coordinates - 1e-9)
+
+    @property
+    def sketch_loss(self) -> float:
+        """Probability that the sketches of a pair just at the threshold agree in fewer."""
+        n, p = self.coordinates, self.similarity
+        return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(self.agree))
+
     @property
     def runs(self) -> int:
         """Runs until the target recall, for a pair just at the threshold that is split to the last."""
         p = 1.0
         for _ in range(self.depth):
             p = 1 - (1 - self.similarity * p) ** self.branch
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - p)))
+        left = 1 - self.recall - self.sketch_loss
+        if left <= 0:
+            raise ValueError("the sketches alone lose more than the target recall allows")
+        runs = max(1, math.ceil(math.log(left) / math.log(1 - p)))
+        if runs * sum(self.branch**d for d in range(1, self.depth + 1)) > self.coordinates:
+            raise ValueError("the runs need more coordinates than a sketch has")
+        return runs
 
 
 def sketches(texts, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +117,13 @@ def _sketched(nodes: DataFrame, t: int) -> DataFrame:
 
 
 def _children(level: DataFrame, runs: int, s: Settings, depth: int) -> DataFrame:
-    """path and node of the next level: each bucket's nodes, by the values of its sampled coordinates."""
+    """path and node of the next level: each bucket's nodes, by the values of its sampled coordinates.
+
+    The low bits of a path are its place among the buckets of its level in the trees of all
+    runs, so each place has coordinates of its own.
+    """
+    first = s.runs * sum(s.branch**d for d in range(1, depth))
+    low = np.uint64((1 << (s.runs * s.branch**s.depth).bit_length()) - 1)
 
     def run(batches):
         import pyarrow as pa
@@ -110,12 +135,12 @@ def _children(level: DataFrame, runs: int, s: Settings, depth: int) -> DataFrame
             path = b.column(0).to_numpy().view(np.uint64)
             rows, paths = [], []
             for r in range(runs):
-                root = mix(path + np.uint64((r + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
-                # The first coordinate from the path's hash, the others an odd stride apart: distinct.
                 for j in range(s.branch):
-                    c = ((root >> np.uint64(40)) + np.uint64(j) * (np.uint64(2) * ((root >> np.uint64(20)) % np.uint64(s.coordinates // 4)) + np.uint64(1))) % np.uint64(s.coordinates)
+                    place = ((path & low) + np.uint64(r)) * np.uint64(s.branch) + np.uint64(j)
+                    c = place + np.uint64(first)
                     value = sketch[np.arange(b.num_rows), c.astype(np.int64)]
-                    paths.append(mix(mix(root + c) ^ (value.astype(np.uint64) << np.uint64(8)) ^ np.uint64(depth)))
+                    key = mix(mix(path + (c + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)) ^ (value.astype(np.uint64) << np.uint64(8)) ^ np.uint64(depth))
+                    paths.append((key & ~low) | place)
                     rows.append(np.arange(b.num_rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).view(np.int64)), b.column(1).take(pa.array(np.concatenate(rows)))], names=["path", "node"])
 
@@ -146,7 +171,7 @@ def _proposals(buckets: DataFrame, s: Settings) -> DataFrame:
                 sketch = np.frombuffer(b"".join(raw), np.uint32).reshape(len(nodes), -1)
                 near = np.zeros((len(nodes), len(nodes)), bool)
                 for i in range(len(nodes)):
-                    near[i] = (sketch == sketch[i]).mean(1) >= s.similarity - s.slack
+                    near[i] = (sketch == sketch[i]).sum(1) >= s.agree
                 label = _components(near)
                 for root in np.unique(label):
                     own = sorted({nodes[i] for i in np.flatnonzero(label == root)})

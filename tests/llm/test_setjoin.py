@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinfold.llm import setjoin as sj
@@ -73,6 +75,68 @@ def test_recall_plan():
     assert 1 - (1 - p) ** s.runs >= s.recall
 
 
+def test_sketches_and_paths_together_reach_the_recall():
+    """The loss of the sketches counts, and coordinates are never drawn twice, so runs are independent."""
+    s = sj.Settings()
+    p = 1.0
+    for _ in range(s.depth):
+        p = 1 - (1 - s.similarity * p) ** s.branch
+    assert s.sketch_loss < 1e-5 and (1 - p) ** s.runs + s.sketch_loss <= 1 - s.recall
+    with pytest.raises(ValueError):
+        sj.Settings(slack=0.1).runs
+
+
+def sketch_rows(spark, differ):
+    """Two nodes a case, whose sketches differ in the coordinates of the case only."""
+    rows = []
+    for k, at in enumerate(differ):
+        sketch = np.arange(64, dtype=np.uint32) + np.uint32(1000 * k)
+        rows.append((0, f"{k}a".encode(), sketch.tobytes()))
+        sketch[list(at)] += np.uint32(1 << 20)
+        rows.append((0, f"{k}b".encode(), sketch.tobytes()))
+    return spark.createDataFrame(rows, "path long, node binary, sketch binary")
+
+
+def test_no_five_coordinates_part_a_pair_at_the_first_level(spark):
+    """Three runs of two branches are six coordinates; two of them were once the same."""
+    s = sj.Settings()
+    rng = random.Random(4)
+    differ = [(52, 17, 42, 49, 61), (0, 1, 2, 3, 4), *(rng.sample(range(6), 5) for _ in range(20)), *(rng.sample(range(64), 5) for _ in range(200))]
+    met = {}
+    for r in sj._children(sketch_rows(spark, differ), s.runs, s, 1).collect():
+        met.setdefault(r["path"], set()).add(bytes(r["node"]))
+    together = {next(iter(x))[:-1] for x in met.values() if len(x) > 1}
+    assert s.runs * s.branch == 6 and len(together) == len(differ)
+
+
+def test_coordinates_are_distinct_in_all_trees(spark):
+    """A path's coordinate is the one whose change moves the node to another path."""
+    s = sj.Settings()
+    level, used = sketch_rows(spark, [()]).where(F.col("node") == b"0a"), []
+    for depth in range(1, s.depth + 1):
+        runs = s.runs if depth == 1 else 1
+        rows = [tuple(r) for r in level.collect()]
+        base = [r["path"] for r in sj._children(level, runs, s, depth).collect()]
+        moved = []
+        for c in range(64):
+            sketch = np.frombuffer(rows[0][2], np.uint32).copy()
+            sketch[c] += 7
+            moved += [(path, f"{c:02d}".encode(), sketch.tobytes()) for path, _, _ in rows]
+        moved = spark.createDataFrame(moved, "path long, node binary, sketch binary")
+        out = {}
+        for r in sj._children(moved, runs, s, depth).collect():
+            out.setdefault(bytes(r["node"]), set()).add(r["path"])
+        used += [c for c in range(64) for p in base if p not in out[f"{c:02d}".encode()]]
+        level = spark.createDataFrame([(p, b"0a", rows[0][2]) for p in base], "path long, node binary, sketch binary")
+    assert len(used) == len(set(used)) == s.runs * (2 + 4 + 8)
+
+
+def test_a_pair_well_below_the_mean_is_proposed(spark):
+    s = sj.Settings()
+    rows = sketch_rows(spark, [range(25), range(40)]).groupBy(F.substring("node", 1, 1).alias("k")).agg(F.collect_list("node").alias("nodes"), F.collect_list("sketch").alias("sketches"))
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in sj._proposals(rows, s).collect()] == [(b"0a", b"0b")]
+
+
 def test_exact_threshold():
     import numpy as np
 
