@@ -10,9 +10,11 @@ both sides are partitioned by size. Items fall into classes by their number of s
 shingles, u apart, so that any passage of u shingles lies whole in one window; MinHash
 (one permutation, ``bins`` bins) compares windows and items of like size. In a window that
 holds an item to the threshold the two share a minimum in a bin with probability about
-0.2 a bin at worst, so with 64 bins the chance to miss it is below 1e-6. A document that
-shares a minimum with an item is a candidate, and the candidate is verified with all
-shingles of the whole document, so nothing false is reported.
+0.2 a bin at worst, so with 64 bins the chance to miss it is below 1e-6. That takes items
+that fill many bins: in the classes up to ``short`` shingles any shingle of an item that
+occurs in a document makes it a candidate, so none is missed. Otherwise a document that
+shares a minimum with an item is a candidate. Candidates are verified with all shingles of
+the whole document, so nothing false is reported.
 
 Items are taken in blocks of bounded size: only a block is sent to the executors, and the
 documents are scanned once a block, so a benchmark of any size works and no document is
@@ -40,6 +42,7 @@ from .textbytes import ALPHANUMERIC, mix, shingles, slices
 class Settings:
     threshold: float = 0.8
     bins: int = 64
+    short: int = 16  #: size classes up to so many shingles have every shingle as a signature value
     block_items: int = 20_000  #: items held by an executor at a time
     block_chars: int = 16_000_000  #: and their characters
 
@@ -76,6 +79,10 @@ def prepare(ids: list, texts: list[str | None], s: Settings) -> Items:
         values, items = [], []
         for i in np.flatnonzero((sizes > (1 << e >> 1 if e else 0)) & (sizes <= 1 << e)):
             b, v = _bins(own[i], s.bins)
+            if 1 << e <= s.short:
+                values.append(v)
+                items.append(np.full(len(v), i))
+                continue
             low = np.full(s.bins, np.iinfo(np.uint64).max)
             np.minimum.at(low, b, v)
             low = low[low < np.iinfo(np.uint64).max]
@@ -130,7 +137,7 @@ def search(texts: list[str | None], items: Items) -> Iterator[tuple[int, int, in
             for doc in np.unique(owner[found]):
                 a, z = bounds[doc], bounds[doc + 1]
                 own = found[(found >= a) & (found < z)] - a
-                if z - a > u:
+                if z - a > u > s.short:
                     own = own[_window_minima(b[a:z], v[a:z], u, s.bins, own)]
                 for x in np.unique(v[a:z][own]):
                     candidates.update((int(doc), int(i)) for i in members[np.searchsorted(values, x) : np.searchsorted(values, x, side="right")])

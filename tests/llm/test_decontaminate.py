@@ -46,6 +46,16 @@ def test_short_items_in_long_documents(spark):
     assert {r["doc_id"] for r in dc.clean(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_items_of_few_shingles_at_any_place():
+    """An item of one shingle fills one bin, which a neighbouring shingle may undercut."""
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    items = [words(5 + k % 4) for k in range(1500)]
+    docs = [(f"{x} {words(40)}", f"{words(40)} {x}", f"{words(30)} {x} {words(30)}")[k % 3] for k, x in enumerate(items)]
+    found = {(d, i) for d, i, _ in dc.search(docs, dc.prepare(list(range(len(items))), items, dc.Settings()))}
+    assert found == {(k, k) for k in range(len(items))}
+
+
 def test_odd_rows(spark):
     d = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "one two three four five six", "c"), (4, "One two", "d"), (4, "One two", "d")], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(1, None), (2, ""), (3, "two three four five six"), (3, "two three four five six"), (None, "one, TWO")], "item_id long, text string")
