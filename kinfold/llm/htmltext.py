@@ -10,6 +10,13 @@ them, and prose inside the article element stays even where a neighbour repeats
 copied articles and repeated passages are content. So inside an article only shared lines
 that are nothing but links are deleted.
 
+Words in class or id name subjects as well as page parts (``category-social-media``, a
+heading's ``social-effects``). Inside an article or main element a mark therefore counts as
+a whole class token or with words of page parts only (``share-buttons``); in any other
+compound it is a doubt, and the lines go only where a neighbour shares them. Ids of headings
+never count, those of sections only outside articles and whole, and nothing in its class
+drops an article element.
+
 Pages are dealt by ranges of (host, path, id), so a host with a third of all pages spans
 many tasks; at the border of two tasks a page has its two nearest neighbours of its own
 side.
@@ -40,6 +47,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 #: Words in class, id or role that mark an element as not of the article.
 MARKS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar toolbar cookie cookies consent gdpr notice notification alert newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser comment comments commentlist disqus respond reply replies popup modal overlay pagination pager skip contentinfo complementary search dialog copyright disclaimer".split())
+#: Words that make a page part of a mark.
+PARTS = frozenset("bar box button buttons container icons links list posts widget widgets wrapper".split())
+#: Elements whose id is an anchor on prose.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id, role or itemprop that mark the article where there is no such element.
 MAIN_MARKS = frozenset("article articlebody main post entry story".split())
 
@@ -57,17 +68,53 @@ class Line:
     article: int  #: number of the outermost article it stands in, 0 for none
     main: bool
     links_only: bool
+    doubt: bool  #: inside an article, in an element that may be a page part by its class
+
+
+@dataclass
+class Marks:
+    words: set[str]  #: tokens of class, id, role and itemprop and their parts
+    tokens: set[str]  #: tokens of class, role and itemprop
+    ids: set[str]  #: tokens of id
+    hidden: bool
+
+
+def _parts(value: str) -> set[str]:
+    return {w.lower() for w in _PART.findall(value)}
 
 
-def _marks(attributes: str) -> tuple[set[str], bool]:
-    words, hidden = set(), False
+def _marks(attributes: str) -> Marks:
+    m = Marks(set(), set(), set(), False)
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "itemprop"):
-            words |= {w.lower() for w in _PART.findall(value)}
-            words |= {w.lower() for w in value.split()}
-        hidden |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and bool(re.search(r"display\s*:\s*none", value, re.I))
-    return words, hidden
+            (m.ids if name == "id" else m.tokens).update(value.split())
+            m.words |= _parts(value) | {w.lower() for w in value.split()}
+        m.hidden |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and bool(re.search(r"display\s*:\s*none", value, re.I))
+    return m
+
+
+def _whole(tokens: set[str]) -> bool:
+    """Whether a token is a mark, alone or with words of page parts only."""
+    for w in tokens:
+        words = {x for x in _parts(w) if len(x) > 1}
+        if w.lower() in MARKS or words & MARKS and words <= MARKS | PARTS:
+            return True
+    return False
+
+
+def _drops(tag: str, m: Marks, article: bool, inside: bool) -> tuple[bool, bool]:
+    """Whether class, id and role mark an element as not of the article, and whether they only may."""
+    if tag in ("html", "body", "main", "article") or not m.words & MARKS:
+        return False, False
+    own = {w.lower() for w in m.tokens}
+    section = tag == "section" or "section" in own
+    if inside or own & MAIN_MARKS:
+        whole = _whole(m.tokens) or tag in ("div", "section", "ul", "ol") and not (section and article) and _whole(m.ids)
+        return whole, not whole and tag not in HEADINGS and any(_parts(w) & MARKS for w in m.tokens)
+    if tag in HEADINGS or section:
+        return any(_parts(w) & MARKS or w.lower() in MARKS for w in m.tokens) or tag not in HEADINGS and _whole(m.ids), False
+    return True, False
 
 
 def parse(page: str | None) -> list[Line]:
@@ -75,9 +122,9 @@ def parse(page: str | None) -> list[Line]:
     lines: list[Line] = []
     if not page:
         return lines
-    # tag, drops, opens an article (its number), opens a main region, is a link
-    stack: list[tuple[str, bool, int, bool, bool]] = []
-    drop, articles, mains, links, count = 0, [], 0, 0, 0
+    # tag, drops, opens an article (its number), opens a main region, is a link, is in doubt
+    stack: list[tuple[str, bool, int, bool, bool, bool]] = []
+    drop, articles, mains, links, doubts, count = 0, [], 0, 0, 0, 0
     text: list[str] = []
     linked, plain = False, False
 
@@ -86,13 +133,14 @@ def parse(page: str | None) -> list[Line]:
         if text:
             t = " ".join(_html.unescape("".join(text)).split())
             if t:
-                lines.append(Line(t, "/".join(x[0] for x in stack if x[0] in BLOCK), drop > 0, articles[0] if articles else 0, mains > 0, linked and not plain))
+                lines.append(Line(t, "/".join(x[0] for x in stack if x[0] in BLOCK), drop > 0, articles[0] if articles else 0, mains > 0, linked and not plain, doubts > 0))
         text, linked, plain = [], False, False
 
     def pop_to(i: int) -> None:
-        nonlocal drop, mains, links
+        nonlocal drop, mains, links, doubts
         while len(stack) > i:
-            _, d, a, m, l = stack.pop()
+            _, d, a, m, l, u = stack.pop()
+            doubts -= u
             drop -= d
             mains -= m
             links -= l
@@ -153,21 +201,26 @@ def parse(page: str | None) -> list[Line]:
                     break
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
-        words, hidden = _marks(attributes) if attributes.strip() else (set(), False)
-        inside = bool(articles) or mains > 0
-        if tag in ("article", "main") and not words & MARKS and drop:
+        marks = _marks(attributes) if attributes.strip() else Marks(set(), set(), set(), False)
+        words, inside = marks.words, bool(articles) or mains > 0
+        whole = _whole(marks.tokens)
+        if tag in ("article", "main") and drop and not whole and not (inside and words & MARKS):
             # An article never stands inside an advert or a menu: what is open there was not closed.
             for i, x in enumerate(stack):
                 if x[1]:
                     pop_to(i)
                     break
-        drops = tag in NEVER or hidden or tag not in ("html", "body", "main") and bool(words & MARKS) or tag == "header" and not inside
+        marked, doubt = _drops(tag, marks, bool(articles), inside)
+        if tag == "article" and articles:  # a reader's comment or a card
+            marked = whole
+        drops = tag in NEVER or marks.hidden or marked or tag == "header" and not inside
         opens = 0
-        if not drops and not drop and (tag == "article" or tag not in ("html", "body", "span", "a", "p") and words & MAIN_MARKS and not words & {"header", "title", "meta"}):
+        if not drops and not drop and (tag == "article" and not (whole and mains) or tag not in ("html", "body", "span", "a", "p", "article") and words & MAIN_MARKS and not words & {"header", "title", "meta"}):
             count += 1
             opens = count
         main = tag == "main" or "main" in words and tag in ("div", "section")
-        stack.append((tag, drops, opens, main, tag == "a"))
+        stack.append((tag, drops, opens, main, tag == "a", doubt))
+        doubts += doubt
         drop += drops
         mains += main
         links += tag == "a"
@@ -234,7 +287,7 @@ def main_text(lines: list[Line], own: list[int], neighbours: list[list[int]]) ->
             continue
         inside = x.article == best if best else x.main
         if best or has_main:
-            if inside and not (i in template and x.links_only):
+            if inside and not (i in template and (x.links_only or x.doubt)):
                 kept.append(x.text)
         elif i not in template:
             kept.append(x.text)

@@ -42,6 +42,23 @@ def test_differencing_finds_the_template():
     assert text(article.format("Own."), article.format("Other.")) == "Shared passage.\n\nOwn."
 
 
+def test_marks_in_subjects_are_prose():
+    page = """<body><div class="nav-bar">Menu</div><article class="post category-social-media"><h1>Title</h1><h2 id="social-effects">Social effects</h2><p>One.</p>
+    <section id="related-work"><h2 id="search">Search</h2><p>Two.</p></section><section id="notice"><p>Three.</p></section><p><span id="Copyright">Four.</span></p>
+    <div class="comment-culture"><p>Five.</p></div><div class="share-buttons">Share</div><div class="newsletter">Join</div><ul id="comments"><li>Hm</ul><div role="search">Find</div></article>
+    <div class="social">Follow</div></body>"""
+    prose = ["Title", "Social effects", "One.", "Search", "Two.", "Three.", "Four.", "Five."]
+    assert text(page).split("\n\n") == prose
+    other = page.replace("One.", "1.").replace("Two.", "2.")
+    assert text(page, other).split("\n\n") == prose[:-1]  # a neighbour confirms the doubt
+    for whole in ("social", "post promotion"):
+        assert text(f'<body><article class="{whole}"><p>Body.</p></article></body>') == "Body."
+    assert text('<main><p>Body.</p><article class="social"><p>More.</p></article></main>') == "Body.\n\nMore."
+    assert text('<body><div class="post category-social-media"><p>Body.</p></div><div class="social-media">x</div></body>') == "Body."
+    assert text('<body><main><section id="related-work"><p>Body.</p></section><h2 id="search-terms">Terms</h2></main></body>') == "Body.\n\nTerms"
+    assert text('<body><p>Body.</p><h2 id="social">Social</h2><section id="related-work">Work.</section><div id="social-box">x</div></body>') == "Body.\n\nSocial\n\nWork."
+
+
 def test_common_subsequence():
     assert h.shared_lines([1, 2, 3, 4], [9, 2, 4, 3]) in ({1, 2}, {1, 3})
     assert h.shared_lines([1, 2, 3], [1, 2, 3]) == {0, 1, 2} and h.shared_lines([], [1]) == set()
