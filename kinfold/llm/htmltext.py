@@ -17,6 +17,11 @@ compound it is a doubt, and the lines go only where a neighbour shares them. Ids
 never count, those of sections only outside articles and whole, and nothing in its class
 drops an article element.
 
+A page may have several articles (or elements with a mark such as ``post`` or ``story``):
+all that stand free are kept, and the largest, wherever it stands, with those of the same
+surrounding element. Elements of which only a part of a class names an article, and
+articles with a mark as class (cards, adverts), are kept only as the largest.
+
 Pages are dealt by ranges of (host, path, id), so a host with a third of all pages spans
 many tasks; at the border of two tasks a page has its two nearest neighbours of its own
 side.
@@ -66,6 +71,7 @@ class Line:
     where: str  #: tags from the body down
     never: bool  #: inside an element that is not of the article
     article: int  #: number of the outermost article it stands in, 0 for none
+    group: int  #: of that article: 0 stands free, above 0 in one dropped element, below 0 alone
     main: bool
     links_only: bool
     doubt: bool  #: inside an article, in an element that may be a page part by its class
@@ -122,9 +128,10 @@ def parse(page: str | None) -> list[Line]:
     lines: list[Line] = []
     if not page:
         return lines
-    # tag, drops, opens an article (its number), opens a main region, is a link, is in doubt
-    stack: list[tuple[str, bool, int, bool, bool, bool]] = []
+    # tag, drops, opens an article (its number), opens a main region, is a link, is in doubt, what it suspends
+    stack: list[tuple[str, bool, int, bool, bool, bool, tuple[int, int, int] | None]] = []
     drop, articles, mains, links, doubts, count = 0, [], 0, 0, 0, 0
+    since, zone, group = 0, 0, {}  # where what drops began, the dropped element articles stand in, groups of articles
     text: list[str] = []
     linked, plain = False, False
 
@@ -133,19 +140,21 @@ def parse(page: str | None) -> list[Line]:
         if text:
             t = " ".join(_html.unescape("".join(text)).split())
             if t:
-                lines.append(Line(t, "/".join(x[0] for x in stack if x[0] in BLOCK), drop > 0, articles[0] if articles else 0, mains > 0, linked and not plain, doubts > 0))
+                lines.append(Line(t, "/".join(x[0] for x in stack if x[0] in BLOCK), drop > 0, articles[0] if articles else 0, group[articles[0]] if articles else 0, mains > 0, linked and not plain, doubts > 0))
         text, linked, plain = [], False, False
 
     def pop_to(i: int) -> None:
-        nonlocal drop, mains, links, doubts
+        nonlocal drop, mains, links, doubts, since, zone
         while len(stack) > i:
-            _, d, a, m, l, u = stack.pop()
+            _, d, a, m, l, u, held = stack.pop()
             doubts -= u
             drop -= d
             mains -= m
             links -= l
             if a:
                 articles.pop()
+            if held:
+                drop, since, zone = drop + held[0], held[1], held[2]
 
     at, size = 0, len(page)
     while at < size:
@@ -203,13 +212,16 @@ def parse(page: str | None) -> list[Line]:
             continue
         marks = _marks(attributes) if attributes.strip() else Marks(set(), set(), set(), False)
         words, inside = marks.words, bool(articles) or mains > 0
-        whole = _whole(marks.tokens)
+        whole, held = _whole(marks.tokens), None
         if tag in ("article", "main") and drop and not whole and not (inside and words & MARKS):
             # An article never stands inside an advert or a menu: what is open there was not closed.
-            for i, x in enumerate(stack):
-                if x[1]:
-                    pop_to(i)
-                    break
+            if articles:
+                for i, x in enumerate(stack):
+                    if x[1]:
+                        pop_to(i)
+                        break
+            else:
+                held, zone, drop = (drop, since, zone), zone or since, 0
         marked, doubt = _drops(tag, marks, bool(articles), inside)
         if tag == "article" and articles:  # a reader's comment or a card
             marked = whole
@@ -218,8 +230,12 @@ def parse(page: str | None) -> list[Line]:
         if not drops and not drop and (tag == "article" and not (whole and mains) or tag not in ("html", "body", "span", "a", "p", "article") and words & MAIN_MARKS and not words & {"header", "title", "meta"}):
             count += 1
             opens = count
+            strong = not whole if tag == "article" else bool({w.lower() for w in marks.tokens} & MAIN_MARKS)
+            group[opens] = zone if strong else -opens
         main = tag == "main" or "main" in words and tag in ("div", "section")
-        stack.append((tag, drops, opens, main, tag == "a", doubt))
+        stack.append((tag, drops, opens, main, tag == "a", doubt, held))
+        if drops and not drop:
+            since = at
         doubts += doubt
         drop += drops
         mains += main
@@ -280,12 +296,13 @@ def main_text(lines: list[Line], own: list[int], neighbours: list[list[int]]) ->
         if x.article and not x.never:
             size[x.article] = size.get(x.article, 0) + len(x.text)
     best = max(size, key=lambda n: (size[n], -n)) if size else 0
+    kept_groups = {0} | {x.group for x in lines if x.article == best}
     has_main = not best and any(x.main and not x.never for x in lines)
     kept = []
     for i, x in enumerate(lines):
         if x.never:
             continue
-        inside = x.article == best if best else x.main
+        inside = x.article > 0 and x.group in kept_groups if best else x.main
         if best or has_main:
             if inside and not (i in template and (x.links_only or x.doubt)):
                 kept.append(x.text)

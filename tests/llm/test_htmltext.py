@@ -59,6 +59,15 @@ def test_marks_in_subjects_are_prose():
     assert text('<body><p>Body.</p><h2 id="social">Social</h2><section id="related-work">Work.</section><div id="social-box">x</div></body>') == "Body.\n\nSocial\n\nWork."
 
 
+def test_all_free_articles_are_kept():
+    two = "<article><p>Part one.</p></article><p>Menu</p><article><p>Part two is longer.</p></article>"
+    assert text(f"<body>{two}</body>") == "Part one.\n\nPart two is longer."
+    assert text(f'<body><div class="has-sidebar">{two}</div></body>') == "Part one.\n\nPart two is longer."
+    assert text('<body><div class="story">Part one.</div><div>Menu</div><div class="story">Part two.</div></body>') == "Part one.\n\nPart two."
+    aside = "<aside><article>Card 1</article><article>Card 2</article></aside>"
+    assert text(f'<body>{aside}{two}{aside}<article class="teaser">Card 3</article><div class="post-tags">Tags</div></body>') == "Part one.\n\nPart two is longer."
+
+
 def test_common_subsequence():
     assert h.shared_lines([1, 2, 3, 4], [9, 2, 4, 3]) in ({1, 2}, {1, 3})
     assert h.shared_lines([1, 2, 3], [1, 2, 3]) == {0, 1, 2} and h.shared_lines([], [1]) == set()
