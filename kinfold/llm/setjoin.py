@@ -325,7 +325,7 @@ def _has_words(text):
 
 
 def _classed(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, node, class_id, n_links, n_copies of every row; node is null for rows without words."""
+    """doc_id, node, class_id, kept (the node whose row stands for the class), n_links, n_copies of every row; node is null for rows without words."""
     found = shared.cut(_joined(docs, s, False).drop("links"))
     # One edge a node and group keeps what the links connect; the links themselves are only counted.
     edges = found.select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -335,25 +335,26 @@ def _classed(docs: DataFrame, s: Settings) -> DataFrame:
     per_node = known.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"))
     per_node = per_node.join(counts, "node", "left").join(classes(edges), "node", "left")
     per_node = shared.cut(per_node.withColumn("root", F.coalesce("root", "node")))
-    named = per_node.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    per_node = per_node.join(named, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    linked = known.join(per_node, "node").select("doc_id", "node", "class_id", "n_links", "n_copies")
-    alone = keyed.where(F.col("node").isNull()).select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    named = per_node.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "node"))).alias("k"))
+    per_node = per_node.join(named, "root").select("node", "class_id", F.col("k.node").alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    linked = known.join(per_node, "node").select("doc_id", "node", "class_id", "kept", "n_links", "n_copies")
+    alone = keyed.where(F.col("node").isNull()).select("doc_id", "node", F.col("doc_id").alias("class_id"), F.col("node").alias("kept"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return linked.unionByName(alone)
 
 
 def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links (different texts within the similarity), n_copies (rows with this very text)."""
-    return _classed(docs, settings).drop("node")
+    return _classed(docs, settings).drop("node", "kept")
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents with one of each class, all columns kept: the row with the smallest id.
+    """The documents with one of each class, all columns kept: the row with the smallest id, and of
+    different texts under that id the one with the smallest node.
 
     Of rows that repeat an id and its text one stays. Rows with a null id and rows without
     words all stay.
     """
-    gone = _classed(docs, settings).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct()
+    gone = _classed(docs, settings).where("doc_id <> class_id or node <> kept").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct()
     keyed = docs.withColumn("_node", F.when(_has_words(F.col("text")), F.unhex(F.md5(F.encode("text", "UTF-8")))))
     fixed = keyed.where(F.col("doc_id").isNull() | F.col("_node").isNull())
     rest = keyed.where(F.col("doc_id").isNotNull() & F.col("_node").isNotNull())

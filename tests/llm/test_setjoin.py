@@ -163,6 +163,14 @@ def test_repeated_ids_with_different_texts(spark):
     assert sorted((r["doc_id"], r["text"][0]) for r in sj.one_of_each(df).collect()) == [(2, "a"), (5, "b")]
 
 
+def test_near_copies_under_one_id(spark):
+    """Different texts of one class under the same smallest id, beside another class under that id."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    df = table(spark, [(5, a), (5, a + " end"), (5, a + " stop"), (6, a), (5, b), (None, a)])
+    kept = sj.one_of_each(df).collect()
+    assert sorted((str(r["doc_id"]), r["text"][0]) for r in kept) == [("5", "a"), ("5", "b"), ("None", "a")]
+
+
 def test_components_of_a_path_a_star_and_a_ring(spark):
     rng = random.Random(2)
     edges = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(60)] + [("s000", f"s{i:03d}") for i in range(1, 50)] + [(f"r{i:03d}", f"r{(i + 1) % 40:03d}") for i in range(40)]
