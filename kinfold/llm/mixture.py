@@ -2,7 +2,7 @@
 
 Leaves are (domain, lang, source). A token budget flows down the tree: at each node it is
 split among the children by weight, a child never gets more than its subtree can supply
-(its tokens times ``max_epochs``), and what a child cannot supply goes to its siblings in
+(its tokens times ``max_epochs``, without leaves that a weight of 0 shuts out), and what a child cannot supply goes to its siblings in
 proportion to their weights. Only what all siblings together cannot supply remains with
 the ancestor, whose own siblings were offered it in the same way one level up.
 
@@ -114,8 +114,11 @@ def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
     leaves = shared.cut(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")))
     cap = F.sum(F.col("n_tokens") * mix.max_epochs).alias("cap")
     total = leaves.agg(F.floor(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("double") * mix.share).cast("long")).first()[0]
-    top = share_out(leaves.groupBy("domain").agg(cap).withColumn("weight", _weight(F.col("domain"), mix.domains)), total, [], "domain")
-    mid = share_out(leaves.groupBy("domain", "lang").agg(cap).withColumn("weight", _weight(F.col("lang"), mix.langs)), top, ["domain"], "lang")
+    # What a weight of 0 further down shuts out can spend nothing.
+    low_open = leaves.where(_weight(F.col("source"), mix.sources) > 0)
+    mid_open = low_open.where(_weight(F.col("lang"), mix.langs) > 0)
+    top = share_out(mid_open.groupBy("domain").agg(cap).withColumn("weight", _weight(F.col("domain"), mix.domains)), total, [], "domain")
+    mid = share_out(low_open.groupBy("domain", "lang").agg(cap).withColumn("weight", _weight(F.col("lang"), mix.langs)), top, ["domain"], "lang")
     low = share_out(leaves.groupBy(*LEAF).agg(cap).withColumn("weight", _weight(F.col("source"), mix.sources)), mid, ["domain", "lang"], "source")
     return low.join(leaves, list(LEAF)).where("n_tokens > 0")
 

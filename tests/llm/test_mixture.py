@@ -60,6 +60,15 @@ def test_shortage_goes_to_siblings_first(spark):
                 assert got.get((d, x, k), 0) == pytest.approx(n, abs=4)
 
 
+def test_leaves_of_weight_0_are_no_supply(spark):
+    """What a shut leaf or language cannot spend goes to the siblings of its ancestors."""
+    rows = [(1, "src0", "en", 10), (2, "src4", "en", 90), (3, "src8", "de", 90), (4, "src1", "en", 200)]
+    docs = spark.createDataFrame([(i, " ".join("w" * n), lang, source, "x") for i, source, lang, n in rows], SCHEMA)
+    how = mixture.Mix(langs={"de": 0}, sources={"src4": 0}, share=0.4, max_epochs=1)
+    got = {r["source"]: r["budget"] for r in mixture.budgets(mixture._rows(docs, None), how).collect()}
+    assert got == {"src0": 10, "src1": 390 * 4 // 10 - 10}
+
+
 @pytest.mark.parametrize("salted", [False, True])
 def test_prefix_over_many_buckets(spark, monkeypatch, salted):
     monkeypatch.setattr(mixture, "BUCKET_ROWS", 7)
