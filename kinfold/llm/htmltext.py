@@ -22,9 +22,11 @@ all that stand free are kept, and the largest, wherever it stands, with those of
 surrounding element. Elements of which only a part of a class names an article, and
 articles with a mark as class (cards, adverts), are kept only as the largest.
 
-Pages are dealt by ranges of (host, path, id), so a host with a third of all pages spans
-many tasks; at the border of two tasks a page has its two nearest neighbours of its own
-side.
+The order of (host, path, id) is cut into cells: a page whose key hashes to 0 modulo
+``Settings.cell`` starts one. Neighbours are sought inside a cell, and partitions are runs of
+whole cells, so a host with a third of all pages spans many tasks and yet no text depends on
+the number of partitions. At the border of two cells a page has its two nearest neighbours
+of its own side. Pages are parsed before they are dealt, so only their lines travel.
 
 Edge cases: null or empty html gives an empty text; a page without article or main
 element keeps what is neither structural nor shared; a neighbour with the very same lines
@@ -38,25 +40,27 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
+import numpy as np
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is never shown or never prose.
+#: Elements of HTML whose content is never shown or never prose.
 NEVER = frozenset("script style noscript template iframe object svg canvas head title nav footer aside form button select option textarea dialog menu datalist audio video map".split())
-#: Elements without an end tag.
+#: Elements of HTML without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that end a line.
+#: Elements of HTML that end a line.
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
-#: Words in class, id or role that mark an element as not of the article.
+#: Chosen here: words in class, id or role that mark an element as not of the article.
 MARKS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar toolbar cookie cookies consent gdpr notice notification alert newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser comment comments commentlist disqus respond reply replies popup modal overlay pagination pager skip contentinfo complementary search dialog copyright disclaimer".split())
-#: Words that make a page part of a mark.
+#: Chosen here: words that make a page part of a mark.
 PARTS = frozenset("bar box button buttons container icons links list posts widget widgets wrapper".split())
-#: Elements whose id is an anchor on prose.
+#: Elements whose id is an anchor on prose.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id, role or itemprop that mark the article where there is no such element.
+#: Chosen here: words in class, id, role or itemprop that mark the article where there is no such element.
 MAIN_MARKS = frozenset("article articlebody main post entry story".split())
 
 _RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -311,50 +315,113 @@ def main_text(lines: list[Line], own: list[int], neighbours: list[list[int]]) ->
     return "\n\n".join(kept)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+#: A line without its text: never, article, group, main, links_only, doubt.
+_MARK = np.dtype([("never", "?"), ("article", "<i4"), ("group", "<i4"), ("main", "?"), ("links_only", "?"), ("doubt", "?")])
+
+
+def packed(lines: list[Line]) -> tuple[bytes, bytes, str]:
+    """Signatures, marks, and the texts of lines that may be prose, one below the other."""
+    marks = np.array([(x.never, x.article, x.group, x.main, x.links_only, x.doubt) for x in lines], _MARK)
+    return np.array(signature(lines), "<u8").tobytes(), marks.tobytes(), "\n".join(x.text for x in lines if not x.never)
+
+
+def unpacked(signatures: bytes, marks: bytes, texts: str) -> tuple[list[int], list[Line]]:
+    prose = iter(texts.split("\n"))
+    lines = [Line("" if m[0] else next(prose), "", *m) for m in np.frombuffer(marks, _MARK).tolist()]
+    return np.frombuffer(signatures, "<u8").tolist(), lines
+
+
+def keyed(pages: DataFrame) -> DataFrame:
+    """page_id, url, html with host, path and digest: the order of pages, whole even for pages of one key."""
     bare = F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    rows = rows.withColumn("_host", F.lower(F.regexp_extract(bare, "^(?:[^/@]*@)?([^/:?#]*)", 1)))
-    rows = rows.withColumn("_path", F.regexp_replace(F.regexp_extract(bare, "^[^/?#]*([^?#]*)", 1), "(?:/|\\.html?|\\.php)+$", ""))
-    keys = ["_host", "_path", "page_id"]
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    rows = rows.withColumn("host", F.lower(F.regexp_extract(bare, "^(?:[^/@]*@)?([^/:?#]*)", 1)))
+    return rows.withColumn("path", F.regexp_replace(F.regexp_extract(bare, "^[^/?#]*([^?#]*)", 1), "(?:/|\\.html?|\\.php)+$", ""))
+
+
+@dataclass(frozen=True)
+class Settings:
+    cell: int = 256  #: pages of a cell, on average
+    max_cells: int = 1 << 18
+    partition_bytes: int = 64 << 20  #: of html
+
+
+def _key(host: str, path: str, page_id: int | None) -> tuple[bytes, bytes, int]:
+    return host.encode("utf-8", "replace"), path.encode("utf-8", "replace"), -(1 << 63) if page_id is None else page_id
+
+
+def _bounds(rows: DataFrame, s: Settings, partitions: int | None) -> tuple[DataFrame, list[tuple[bytes, bytes, int]]]:
+    """The rows with ``start`` (whether their key starts a cell), and the first key of each partition but the first.
+
+    Bounds are starts, evenly chosen. The driver sees about ``max_cells`` starts at most: in a
+    table with more pages a cell is longer, by the number of pages alone.
+    """
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    cell = max(s.cell, 1 << (max(1, -(-n // s.max_cells)) - 1).bit_length())
+    rows = rows.withColumn("start", F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(cell)) == 0)
+    starts = sorted(_key(*r) for r in rows.where("start").select("host", "path", "page_id").distinct().collect())
+    wanted = partitions or max(-(-size // s.partition_bytes), 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    parts = max(1, min(wanted, len(starts) + 1))
+    return rows, [starts[(i * (len(starts) + 1)) // parts - 1] for i in range(1, parts)]
+
+
+def extract(pages: DataFrame, settings: Settings = Settings(), partitions: int | None = None) -> DataFrame:
+    """page_id, url, text, n_chars of every page. ``partitions`` deals the work and changes no text."""
+    rows, bounds = _bounds(keyed(pages), settings, partitions)
+    held = rows.sparkSession.sparkContext.broadcast(bounds)  # at most about max_cells keys
+
+    def lines_of(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for page_id, url, html, host, path, start in zip(*(b.column(c).to_pylist() for c in range(6))):
+                at = bisect_right(held.value, _key(host, path, page_id))
+                out.append((page_id, url, host, path, start, at, zlib.crc32((html or "").encode("utf-8", "replace")), *packed(parse(html))))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["page_id", "url", "host", "path", "start", "part", "digest", "signatures", "marks", "texts"])
 
     def run(batches):
         import pyarrow as pa
 
-        def ready(window, i):
-            host, lines, own = window[i][1], window[i][2], window[i][3]
-            near = [window[j][3] for j in sorted((j for j in range(len(window)) if j != i and window[j][1] == host), key=lambda j: abs(j - i))[:2]]
-            return window[i][0], main_text(lines, own, near)
+        # Five pages at a time: the page in the middle and two on each side.
+        window, middle, out = [], 0, []
+
+        def ready():
+            place, host, own, lines = window[middle]
+            near = sorted((j for j in range(len(window)) if j != middle and window[j][1] == host), key=lambda j: abs(j - middle))[:2]
+            out.append((place, main_text(lines, own, [window[j][2] for j in near])))
 
         def pages_of():
+            cell, before = 0, None
             for b in batches:
-                for k, (html, host) in enumerate(zip(b.column("html").to_pylist(), b.column("_host").to_pylist())):
-                    lines = parse(html)
-                    yield (b.column("page_id")[k].as_py(), b.column("url")[k].as_py()), host, lines, signature(lines)
+                for page_id, url, host, path, start, signatures, marks, texts in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "path", "start", "signatures", "marks", "texts"))):
+                    key = host, path, page_id
+                    cell += start and key != before
+                    before = key
+                    yield (page_id, url), (host, cell), *unpacked(signatures, marks, texts)
 
-        # Five pages at a time: the page in the middle and two on each side.
-        window, middle, out = [], 0, []
-        stream = iter(pages_of())
+        stream = pages_of()
         while True:
             while len(window) < middle + 3 and (x := next(stream, None)) is not None:
                 window.append(x)
             if middle >= len(window):
                 break
-            out.append(ready(window, middle))
+            ready()
             middle += 1
             if middle > 2:
                 window.pop(0)
                 middle -= 1
             if len(out) >= 500:
                 yield _batch(pa, out)
-                out = []
+                out.clear()
         if out:
             yield _batch(pa, out)
 
-    return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    schema = "page_id long, url string, host string, path string, start boolean, part int, digest long, signatures binary, marks binary, texts string"
+    order = ["host", "path", "page_id", "digest"]
+    dealt = rows.mapInArrow(lines_of, schema).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def _batch(pa, rows):

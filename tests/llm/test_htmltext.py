@@ -93,3 +93,40 @@ def test_neighbours_stream_over_a_large_host(spark):
     rows = [(i, f"https://shop.example/a/{i:05d}.html", page.format(i)) for i in range(400)]
     out = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(out) == 400 and all(r["text"] == f"Article number {r['page_id']} is here.\n\nLine {r['page_id']} two." for r in out)
+
+
+def test_texts_do_not_depend_on_the_partitions(spark):
+    """Without an article differencing decides; cells, not partitions, say who is a neighbour."""
+    page = "<body><div>Shop {1}</div><p>Article {0} is here.</p><p>{1} in all.</p><div>Shop end</div></body>"
+    rows = [(i, f"https://shop.example/a/{i:05d}.html", page.format(i, i // 3)) for i in range(300)]
+    rows += [(None, "https://shop.example/a/00100.html", page.format("x", 7))] * 40 + [(100, "https://shop.example/a/00100.html", page.format(k, k)) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    small = h.Settings(cell=8)
+    texts = [sorted(map(str, h.extract(df, small, p).collect())) for p in (1, 5, 40)]
+    assert texts[0] == texts[1] == texts[2] and len(texts[0]) == len(rows)
+    assert len({len(x) for x in texts[0]}) > 1
+    # Against the same cells in plain Python.
+    keyed, bounds = h._bounds(h.keyed(df), small, 1000)
+    starts = {h._key(r["host"], r["path"], r["page_id"]) for r in keyed.where("start").collect()}
+    assert len(bounds) == len(starts) > 20
+    cells, want = [], []
+    for r in sorted(keyed.collect(), key=lambda r: (h._key(r["host"], r["path"], r["page_id"]), h.zlib.crc32(r["html"].encode()))):
+        key = h._key(r["host"], r["path"], r["page_id"])
+        if not cells or key in starts and key != cells[-1][-1][0]:
+            cells.append([])
+        cells[-1].append((key, r, h.parse(r["html"])))
+    for cell in cells:
+        signs = [h.signature(lines) for _, _, lines in cell]
+        for i, (_, r, lines) in enumerate(cell):
+            near = sorted((j for j in range(max(0, i - 2), min(len(cell), i + 3)) if j != i), key=lambda j: abs(j - i))[:2]
+            t = h.main_text(lines, signs[i], [signs[j] for j in near])
+            want.append(str((r["page_id"], r["url"], t, len(t))))
+    got = sorted(str((r["page_id"], r["url"], r["text"], r["n_chars"])) for r in h.extract(df, small).collect())
+    assert got == sorted(want)
+
+
+def test_packed_lines_come_back():
+    lines = h.parse("<body><nav>Menu</nav><p>A<p>B <a href=x>c</a><article><p>D</p></article>")
+    signs, back = h.unpacked(*h.packed(lines))
+    assert signs == h.signature(lines) and h.main_text(back, signs, []) == h.main_text(lines, signs, []) == "D"
+    assert h.unpacked(*h.packed([])) == ([], [])
