@@ -7,14 +7,16 @@ proportion to their weights. Only what all siblings together cannot supply remai
 the ancestor, whose own siblings were offered it in the same way one level up.
 
 A leaf spends its budget in whole epochs and then on a prefix of one more: its rows in an
-order seeded by (seed, epoch, id), as far as the tokens reach. The prefix is found with
-running sums inside hash buckets of bounded size plus the sums of the buckets before, so
-no task sees a whole leaf; it is applied as a cut-off per leaf, so texts are never shuffled.
+order seeded by (seed, epoch, id), as far as the tokens reach. The prefix is found by
+running sums over coarse ranges of hash buckets, over the buckets of the one range in which
+the tokens run out, and over the rows of the one such bucket, so no task sees a whole leaf;
+it is applied as a cut-off per leaf, so texts are never shuffled. Texts are read once to
+count tokens; all else works on a kept table of id, leaf and size.
 
 Edge cases: null text and empty text have 0 tokens; null domain, lang or source count as
 the empty string; a leaf without tokens, or of weight 0, gets nothing; unlisted names have
-weight 1; budgets are whole tokens, rounded down; rows that repeat an id stand together in
-the order and are taken together or as far as the tokens reach; an empty table gives an
+weight 1; budgets are whole tokens, rounded down; rows that repeat an id and size stand
+together in the order and are taken together, where the tokens reach for all; an empty table gives an
 empty result; a budget above what the tree can supply selects everything ``max_epochs``
 times.
 """
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 LEAF = ("domain", "lang", "source")
-#: Rows of a hash bucket, on average.
-BUCKET_ROWS = 4096
+#: Rows of a hash bucket, on average, and buckets of a coarse range.
+BUCKET_ROWS, RANGE = 256, 1024
 #: Rows of a leaf table (a few hundred bytes each) up to which it is broadcast.
 BROADCAST_LEAVES = 50_000
 
@@ -106,7 +108,7 @@ def _join_small(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame
         return rows.join(F.broadcast(small), keys)
     salts = 64
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
 def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
@@ -123,36 +125,70 @@ def budgets(rows: DataFrame, mix: Mix) -> DataFrame:
     return low.join(leaves, list(LEAF)).where("n_tokens > 0")
 
 
-def select(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None = None) -> DataFrame:
-    """The rows that the mix takes, with ``copies`` and the leaf; the input's columns are named in_*."""
-    rows = _rows(docs, domain)
-    leaf = budgets(rows, mix).withColumn("epochs", F.floor(F.col("budget") / F.col("n_tokens")).cast("long"))
+def _key(mix: Mix) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
+def _bucket() -> Column:
+    return F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * F.col("buckets") / float(1 << 32)).cast("long")
+
+
+def _place(n_tokens: Column) -> Column:
+    return F.struct(F.col("key"), F.coalesce("doc_id", F.lit(-1)).alias("id"), n_tokens.alias("n"))
+
+
+def _last_begun(sums: DataFrame, by: str) -> DataFrame:
+    """LEAF, ``by``, before, rest: per leaf the last range that its tokens reach, and the tokens before it.
+
+    ``sums`` has LEAF, ``by``, own and rest, and ``base``, the tokens before its first range.
+    """
+    w = Window.partitionBy(*LEAF).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    begun = sums.withColumn("before", F.col("base") + F.sum("own").over(w) - F.col("own")).where("before <= rest")
+    return begun.groupBy(*LEAF).agg(F.max_by(F.struct(by, "before", "rest"), by).alias("e")).select(*LEAF, "e.*")
+
+
+def _plan(light: DataFrame, mix: Mix) -> DataFrame:
+    """LEAF, epochs, rest, buckets, edge and last: whole epochs, and the place up to which one more is taken."""
+    leaf = budgets(light, mix).withColumn("epochs", F.floor(F.col("budget") / F.col("n_tokens")).cast("long"))
     leaf = shared.cut(leaf.select(*LEAF, "epochs", (F.col("budget") - F.col("epochs") * F.col("n_tokens")).alias("rest"), F.ceil(F.col("n_rows") / BUCKET_ROWS).cast("long").alias("buckets")))
-    key = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    place = F.struct(F.col("key"), F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("n_tokens").alias("n"))
-    light = _join_small(rows.select("doc_id", *LEAF, "n_tokens"), leaf.where("rest > 0"), list(LEAF)).withColumn("key", key)
-    light = light.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * F.col("buckets") / float(1 << 32)).cast("long"))
-    light = light.select(*LEAF, "bucket", "rest", "n_tokens", place.alias("place"))
-    sums = light.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("own"), F.first("rest").alias("rest"))
-    before = F.sum("own").over(Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")
-    # The one bucket of each leaf in which the tokens run out, and the last one they reach whole.
-    sums = shared.cut(sums.withColumn("before", before).where(F.col("before") <= F.col("rest")).select(*LEAF, "bucket", "own", "before"))
-    edge = sums.groupBy(*LEAF).agg(F.max_by(F.struct("bucket", "before", "own"), "bucket").alias("e"))
-    edge = shared.cut(edge.select(*LEAF, F.col("e.bucket").alias("bucket"), F.col("e.before").alias("before")))
-    inside = _join_small(light.withColumn("doc_id", F.col("place.id")), edge, [*LEAF, "bucket"])
-    run = F.sum("n_tokens").over(Window.partitionBy(*LEAF, "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    cut = inside.withColumn("upto", F.col("before") + run).where("upto <= rest").groupBy(*LEAF).agg(F.max("place").alias("last"))
-    cut = edge.join(cut, list(LEAF), "left").select(*LEAF, F.col("bucket").alias("edge"), "last")
-    plan = shared.cut(leaf.join(cut, list(LEAF), "left"))
-    out = _join_small(rows, plan, list(LEAF)).withColumn("key", key)
-    bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * F.col("buckets") / float(1 << 32)).cast("long")
-    extra = F.when(F.col("rest") <= 0, 0).when(bucket < F.col("edge"), 1).when((bucket == F.col("edge")) & (place <= F.col("last")), 1).otherwise(0)
+    dealt = _join_small(light, leaf.where("rest > 0"), list(LEAF)).withColumn("key", _key(mix)).withColumn("bucket", _bucket())
+    sums = dealt.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("own"), F.first("rest").alias("rest"))
+    sums = shared.cut(sums.withColumn("range", F.floor(F.col("bucket") / RANGE)))
+    coarse = sums.groupBy(*LEAF, "range").agg(F.sum("own").alias("own"), F.first("rest").alias("rest"), F.lit(0).cast("long").alias("base"))
+    coarse = _last_begun(coarse, "range").select(*LEAF, "range", F.col("before").alias("base"))
+    edge = shared.cut(_last_begun(sums.join(coarse, [*LEAF, "range"]), "bucket"))
+    inside = _join_small(dealt.drop("rest"), edge, [*LEAF, "bucket"]).withColumn("place", _place(F.col("n_tokens")))
+    # Rows of one place are counted before they meet, however many repeat an id.
+    places = inside.groupBy(*LEAF, "place").agg(F.sum("n_tokens").alias("own"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    run = F.sum("own").over(Window.partitionBy(*LEAF).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    last = places.withColumn("upto", F.col("before") + run).where("upto <= rest").groupBy(*LEAF).agg(F.max("place").alias("last"))
+    cut = edge.join(last, list(LEAF), "left").select(*LEAF, F.col("bucket").alias("edge"), "last")
+    return shared.cut(leaf.join(cut, list(LEAF), "left"))
+
+
+def _taken(rows: DataFrame, plan: DataFrame, mix: Mix, n_tokens: Column) -> DataFrame:
+    """The rows that the plan takes, with copies. The size is looked at only in the bucket where tokens run out."""
+    out = _join_small(rows, plan, list(LEAF)).withColumn("key", _key(mix))
+    extra = F.when(F.col("rest") <= 0, 0).when(_bucket() < F.col("edge"), 1).when((_bucket() == F.col("edge")) & (_place(n_tokens) <= F.col("last")), 1).otherwise(0)
     return out.withColumn("copies", (F.col("epochs") + extra).cast("long")).where("copies > 0").drop("epochs", "rest", "buckets", "edge", "last", "key")
 
 
+def _light(rows: DataFrame) -> DataFrame:
+    return shared.cut(rows.select("doc_id", *LEAF, "n_tokens"))
+
+
+def select(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None = None) -> DataFrame:
+    """doc_id, leaf, n_tokens and copies of the rows that the mix takes."""
+    light = _light(_rows(docs, domain))
+    return _taken(light, _plan(light, mix), mix, F.col("n_tokens"))
+
+
 def mix(docs: DataFrame, how: Mix = PRODUCTION, domain: Column | None = None) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    taken = select(docs, how, domain).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    rows = _rows(docs, domain)
+    plan = _plan(_light(rows), how)
+    taken = _taken(rows.drop("n_tokens"), plan, how, tokens(F.col("in_text")))
+    taken = taken.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return taken.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
 
 

@@ -72,6 +72,7 @@ def test_leaves_of_weight_0_are_no_supply(spark):
 @pytest.mark.parametrize("salted", [False, True])
 def test_prefix_over_many_buckets(spark, monkeypatch, salted):
     monkeypatch.setattr(mixture, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(mixture, "RANGE", 5)
     if salted:
         monkeypatch.setattr(mixture, "BROADCAST_LEAVES", 0)
     docs = spark.createDataFrame([(i, "w " * (i % 9 + 1), "en", "src0", "x") for i in range(500)], SCHEMA)
@@ -100,3 +101,20 @@ def test_epochs_and_odd_rows(spark):
     assert mixed.columns == docs.columns and mixed.count() == 15
     assert mixture.mix(docs.where("false")).count() == 0
     assert mixture.mix(docs, mixture.Mix(domains={f"d{i}": 0 for i in range(4)})).count() == 0
+
+
+def test_rows_of_one_id_are_taken_together(spark):
+    """A hot id is one place in the order, and the budget is never passed."""
+    docs = spark.createDataFrame([(7, "w w w", "en", "src0", "x")] * 300 + [(i, "w w", "en", "src0", "x") for i in range(10, 210)], SCHEMA)
+    for share in (0.1, 0.3, 0.5, 0.7, 0.9):
+        how = mixture.Mix(share=share, max_epochs=1)
+        out = mixture.select(docs, how).collect()
+        assert sum(r["n_tokens"] for r in out) <= int(1300 * share)
+        assert sum(r["doc_id"] == 7 for r in out) in (0, 300)
+        assert mixture.mix(docs, how).count() == len(out)
+
+
+def test_texts_are_read_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = mixture.select(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan
