@@ -21,9 +21,11 @@ table writes no shard; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -34,8 +36,12 @@ from pyspark.sql import functions as F
 from . import shared
 from .textbytes import mix
 
-MAGIC = b"KFIDS1\0\0"
-HEADER = len(MAGIC) + 48
+MAGIC = b"KFIDS2\0\0"
+TRAILER = len(MAGIC) + 48
+MANIFEST = "manifest.json"
+#: Bytes of text and rows of a shard, about.
+SHARD_BYTES, SHARD_ROWS = 64 << 20, 1 << 20
+_SLOT = np.dtype([("print", "<u4"), ("first", "<u4"), ("many", "<u4")])
 _NULL_KEY = np.int64(-(1 << 63))
 
 
@@ -103,56 +109,72 @@ def index_bytes(keys: np.ndarray, nulls: np.ndarray, ends: np.ndarray) -> tuple[
     """The index of a shard, its keys, buckets and seed. Equal keys stand together."""
     distinct, first, count = np.unique(np.where(nulls, _NULL_KEY, keys), return_index=True, return_counts=True)
     pilots, seed = build_mph(distinct)
+    slots = np.zeros(len(distinct), _SLOT)
     at = find(distinct, pilots, seed, len(distinct))
-    prints, rows, many = (np.zeros(len(distinct), np.uint32) for _ in range(3))
-    prints[at], rows[at], many[at] = fingerprint(distinct), first, count
-    parts = (keys.astype("<i8"), nulls.astype(np.uint8), ends.astype("<u8"), pilots.astype("<u4"), prints.astype("<u4"), rows.astype("<u4"), many.astype("<u4"))
+    slots["print"][at], slots["first"][at], slots["many"][at] = fingerprint(distinct), first, count
+    parts = (keys.astype("<i8"), nulls.astype(np.uint8), ends.astype("<u8"), pilots.astype("<u4"), slots)
     return b"".join(p.tobytes() for p in parts), len(distinct), len(pilots), seed
 
 
-def header(id_bytes: int, rows: int, keys: int, buckets: int, offset: int, seed: int) -> bytes:
-    return MAGIC + np.array([id_bytes, rows, keys, buckets, offset, seed], "<u8").tobytes()
+def trailer(id_bytes: int, rows: int, keys: int, buckets: int, offset: int, seed: int) -> bytes:
+    return np.array([id_bytes, rows, keys, buckets, offset, seed], "<u8").tobytes() + MAGIC
 
 
 class Shard:
-    """Keyed access to one shard file. Payload bytes are read on demand."""
+    """Access to one shard file. Only the trailer is read at once, everything else by its offset."""
 
     def __init__(self, path: str):
         fs, name = shared.filesystem(path)
         self._file = fs.open_input_file(name)
-        head = self._file.read_at(HEADER, 0)
-        if head[: len(MAGIC)] != MAGIC:
+        size = self._file.size()
+        tail = self._read(max(0, size - TRAILER), min(size, TRAILER))
+        if tail[-len(MAGIC) :] != MAGIC:
             raise ValueError(f"not a token shard: {path}")
-        self.id_bytes, self.rows, self.n, buckets, offset, self.seed = map(int, np.frombuffer(head[len(MAGIC) :], "<u8"))
-        raw = self._file.read_at(self._file.size() - offset, offset)
-        at = 0
+        self.id_bytes, self.rows, self.n, self.buckets, at, self.seed = map(int, np.frombuffer(tail[: -len(MAGIC)], "<u8"))
+        self._at = {}
+        for part, width in (("key", 8 * self.rows), ("null", self.rows), ("end", 8 * self.rows), ("pilot", 4 * self.buckets), ("slot", _SLOT.itemsize * self.n)):
+            self._at[part], at = at, at + width
 
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, kind, count, at)
-            at += out.nbytes
-            return out
+    def _read(self, offset: int, size: int) -> bytes:
+        return self._file.read_at(size, offset)
 
-        self.keys, self.nulls, self.ends = take("<i8", self.rows), take("u1", self.rows), take("<u8", self.rows)
-        self.pilots, self.prints, self.first, self.many = take("<u4", buckets), take("<u4", self.n), take("<u4", self.n), take("<u4", self.n)
+    def _entries(self, part: str, kind, first: int, count: int) -> np.ndarray:
+        kind = np.dtype(kind)
+        return np.frombuffer(self._read(self._at[part] + first * kind.itemsize, count * kind.itemsize), kind)
 
     def rows_of(self, key: int | None) -> range:
         """The rows of a document key, in constant time; an unknown key has none."""
         k = np.array([_NULL_KEY if key is None else key], np.int64)
-        at = int(find(k, self.pilots, self.seed, self.n)[0])
-        if self.prints[at] != fingerprint(k)[0]:
+        h = _hash(k, self.seed)
+        pilot = self._entries("pilot", "<u4", int(h[0] % np.uint64(self.buckets)), 1)
+        slot = self._entries("slot", _SLOT, int(_slot(h, pilot, self.n)[0]), 1)[0]
+        if slot["print"] != fingerprint(k)[0]:
             return range(0)
-        first = int(self.first[at])
-        mine = (None if self.nulls[first] else int(self.keys[first])) == key  # exact, after the fingerprint
-        return range(first, first + int(self.many[at])) if mine else range(0)
-
-    def start(self, row: int) -> int:
-        """Ids of the shard before this row."""
-        return int(self.ends[row - 1]) if row else 0
+        first = int(slot["first"])
+        own = None if self._entries("null", "u1", first, 1)[0] else int(self._entries("key", "<i8", first, 1)[0])
+        return range(first, first + int(slot["many"])) if own == key else range(0)  # exact, after the fingerprint
 
     def ids(self, row: int) -> np.ndarray:
-        a, b = self.start(row), int(self.ends[row])
-        return np.frombuffer(self._file.read_at((b - a) * self.id_bytes, HEADER + a * self.id_bytes), f"<u{self.id_bytes}").astype("<u4")
+        lo = max(0, row - 1)
+        ends = self._entries("end", "<u8", lo, row - lo + 1)
+        a, b = int(ends[0]) if row else 0, int(ends[-1])
+        return self.payload(a, b)
+
+    def payload(self, a: int, b: int) -> np.ndarray:
+        """Ids a to b of the shard."""
+        return np.frombuffer(self._read(a * self.id_bytes, (b - a) * self.id_bytes), f"<u{self.id_bytes}").astype("<u4")
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, nulls and ends of all rows, once the index has been found to lead to each of them."""
+        keys, nulls, ends = self._entries("key", "<i8", 0, self.rows), self._entries("null", "u1", 0, self.rows), self._entries("end", "<u8", 0, self.rows)
+        wanted = np.where(nulls, _NULL_KEY, keys)
+        at = find(wanted, self._entries("pilot", "<u4", 0, self.buckets), self.seed, self.n)
+        slots = self._entries("slot", _SLOT, 0, self.n)[at]
+        row = np.arange(self.rows)
+        fine = (slots["print"] == fingerprint(wanted)) & (slots["first"] <= row) & (row < slots["first"].astype(np.int64) + slots["many"])
+        if not fine.all():
+            raise ValueError(f"the index loses row {int(np.argmin(fine))}")
+        return keys, nulls, ends
 
     def close(self) -> None:
         self._file.close()
@@ -171,6 +193,25 @@ def _byte_characters() -> dict[int, str]:
     return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
+#: The first character after the Latin letters that words are parted here for.
+_LATIN_END = "\u0250"
+
+
+def parts_stops(tokenizer, stops: str) -> bool:
+    """Whether the tokenizer itself parts every Latin letter from every stop, and letters or stops from nothing else.
+
+    The pattern is asked about each letter before each stop, and about runs of both.
+    """
+    letters = [chr(c) for c in range(ord(_LATIN_END)) if chr(c).isalpha() and chr(c) != "\u0130"]
+    letters = [c for c in letters if unicodedata.is_normalized("NFC", c)]
+    runs = [a + b for a in stops for b in stops]
+    probes = [(c.lower(), s) for c in letters for s in stops] + [("ab", r) for r in runs] + [(x + y, stops) for x in "azé\u00df" for y in letters]
+    pieces = tokenizer.pre_tokenizer.pre_tokenize_str
+    table = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
+    shown = lambda t: t.encode().decode("latin-1").translate(table)
+    return all([p for p, _ in pieces(word + stop)] == [shown(word), shown(stop)] for word, stop in probes)
+
+
 class Encoder:
     """Text to the bytes of its ids, through the tokenizers library.
 
@@ -191,6 +232,7 @@ class Encoder:
         self._encode = getattr(t, "encode_batch_fast", t.encode_batch)
         self._model, self._tokenizer = t.model, t  # the model lives with its tokenizer
         self._kind, self._by_word, self._keep = f"<u{id_bytes}", by_word, keep
+        self._parts = by_word and parts_stops(t, self._STOPS)
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._table = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
@@ -211,7 +253,7 @@ class Encoder:
     def _word(self, word: str) -> bytes | None:
         """The ids of a simple word, or None."""
         core = word.rstrip(self._STOPS)
-        simple = core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core and unicodedata.is_normalized("NFC", core))
+        simple = core.isalpha() and (core.isascii() or max(core) < _LATIN_END and "\u0130" not in core and unicodedata.is_normalized("NFC", core))
         if not simple:
             return None
         tail = word[len(core) :]
@@ -228,7 +270,7 @@ class Encoder:
                 if w in young:
                     continue
                 ids = self._old.get(w)
-                if ids is None:
+                if ids is None and self._parts:
                     ids = self._word(w)
                 if ids is None:
                     odd.append(w)
@@ -256,8 +298,6 @@ def splits_at_blanks(path: str) -> bool:
     only by steps that do not look across blanks (NFC, lower case, white-space folding), and
     have no post-processor or added token with a blank in it.
     """
-    import json
-
     with open(path, encoding="utf-8") as f:
         t = json.load(f)
     norm = t.get("normalizer") or {}
@@ -273,23 +313,29 @@ def splits_at_blanks(path: str) -> bool:
     return bool(plain and drops and tokens and bytes_only and any(s["type"] == "Lowercase" for s in steps) and not t.get("post_processor"))
 
 
+def _shards(rows: DataFrame) -> int:
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // SHARD_BYTES), -(-n // SHARD_ROWS))
+
+
 def write(docs: DataFrame, tokenizer: str | Callable[[], str], out_dir: str, end_id: int = 2, shards: int | None = None) -> list[dict]:
-    """Write the shards of all documents below ``out_dir``; the manifest, in order of ids.
+    """Write the shards of all documents below ``out_dir`` with their manifest, and return that, in order of ids.
 
     ``tokenizer`` is the path of a vocabulary file, or a function that finds it on the executor.
     ``out_dir`` must be a folder that all executors share. Each task writes one shard under a
     name of its own attempt and renames it when whole, so a task that runs again leaves one
-    complete file. Rows are dealt by ranges of ids; the rows of one id stay together.
+    complete file. Rows are dealt by ranges of ids, and of the beginnings of texts where an id
+    has many rows.
     """
-    spark = docs.sparkSession
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shards = shards or _shards(rows)
 
     def run(batches: Iterable):
         import pandas as pd
 
         path = tokenizer if isinstance(tokenizer, str) else tokenizer()
         fs, folder = shared.filesystem(out_dir)
-        encoder, task, stream, base = None, TaskContext.get(), None, 0
+        encoder, task, stream = None, TaskContext.get(), None
         keys, nulls, sizes = [], [], []
         for pdf in batches:
             if not len(pdf):
@@ -299,39 +345,30 @@ def write(docs: DataFrame, tokenizer: str | Callable[[], str], out_dir: str, end
                 id_bytes, encoder = shared.per_process(("encoder", path, end_id), lambda: _encoder(path, end_id))
                 end = np.array([end_id], f"<u{id_bytes}").tobytes()
                 fs.create_dir(folder, recursive=True)
-                draft, name = f"{folder}/.part-{task.partitionId():06d}-{task.taskAttemptId()}", f"{folder}/shard-{task.partitionId():06d}.ids"
+                name = f"shard-{task.partitionId():06d}.ids"
+                draft = f"{folder}/.{name}-{task.taskAttemptId()}"
                 stream = fs.open_output_stream(draft)
-                stream.write(bytes(HEADER))
             texts = pdf["text"].tolist()
             for lo in range(0, len(texts), 64):
                 made = [x + end for x in encoder.encode(texts[lo : lo + 64])]
                 stream.write(b"".join(made))
-                sizes += [len(x) // id_bytes for x in made]
+                sizes.append(np.fromiter((len(x) // id_bytes for x in made), np.int64, len(made)))
             nulls.append(pdf["null"].to_numpy(bool))
             keys.append(pdf["doc_id"].to_numpy(np.int64))
         if stream is None:
             return
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(np.concatenate(sizes))
         key, null = np.concatenate(keys), np.concatenate(nulls)
         index, n, buckets, seed = index_bytes(key, null, ends)
         stream.write(index)
+        stream.write(trailer(id_bytes, len(key), n, buckets, int(ends[-1]) * id_bytes, seed))
         stream.close()
-        head = header(id_bytes, len(key), n, buckets, HEADER + int(ends[-1]) * id_bytes, seed)
-        if isinstance(fs, _local_kind()):
-            with open(draft, "r+b") as f:
-                f.write(head)
-            os.replace(draft, name)
-        else:  # object stores cannot patch a file: write it again with its header
-            with fs.open_input_stream(draft) as old, fs.open_output_stream(name) as new:
-                old.read(HEADER)
-                new.write(head)
-                while block := old.read(1 << 22):
-                    new.write(block)
-            fs.delete_file(draft)
-        yield pd.DataFrame({"shard": [task.partitionId()], "name": [os.path.basename(name)], "rows": [len(key)], "ids": [int(ends[-1])], "has_null": [bool(null.any())], "low": [int(key[~null].min()) if (~null).any() else None], "high": [int(key[~null].max()) if (~null).any() else None]}).astype({"low": "Int64", "high": "Int64"})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("null", F.col("doc_id").isNull())
-    ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+        fs.move(draft, f"{folder}/{name}")
+        yield pd.DataFrame({"shard": [task.partitionId()], "name": [name], "rows": [len(key)], "ids": [int(ends[-1])], "has_null": [bool(null.any())], "low": [int(key[~null].min()) if (~null).any() else None], "high": [int(key[~null].max()) if (~null).any() else None]}).astype({"low": "Int64", "high": "Int64"})
+
+    rows = rows.withColumn("null", F.col("doc_id").isNull())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    ordered = rows.repartitionByRange(shards, order[0], F.substring("text", 1, 64).asc_nulls_first()).sortWithinPartitions(*order)
     ordered = ordered.withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     made = ordered.mapInPandas(run, "shard int, name string, rows long, ids long, has_null boolean, low long, high long")
     manifest = sorted((r.asDict() for r in made.collect()), key=lambda r: r["shard"])  # one row a shard
@@ -339,17 +376,24 @@ def write(docs: DataFrame, tokenizer: str | Callable[[], str], out_dir: str, end
     for r in manifest:
         r["start"] = before
         before += r["ids"]
+    fs, folder = shared.filesystem(out_dir)
+    fs.create_dir(folder, recursive=True)
+    with fs.open_output_stream(f"{folder}/.{MANIFEST}") as f:
+        f.write(json.dumps(manifest).encode())
+    fs.move(f"{folder}/.{MANIFEST}", f"{folder}/{MANIFEST}")
     return manifest
 
 
-def _local_kind():
-    from pyarrow import fs
-
-    return fs.LocalFileSystem
+def load_manifest(out_dir: str) -> list[dict]:
+    """The manifest that :func:`write` left in the folder."""
+    fs, folder = shared.filesystem(out_dir)
+    with fs.open_input_file(f"{folder}/{MANIFEST}") as f:
+        return json.loads(f.read())
 
 
-def read(spark: SparkSession, out_dir: str, manifest: list[dict]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and shard of every document, through the index of each shard."""
+def read(spark: SparkSession, out_dir: str, manifest: list[dict] | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and shard of every document, as the files hold them and the index finds them."""
+    manifest = load_manifest(out_dir) if manifest is None else manifest
     if not manifest:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
     todo = spark.createDataFrame([(r["shard"], r["name"], r["start"]) for r in manifest], "shard int, name string, start long").repartition(len(manifest), "shard")
@@ -360,31 +404,40 @@ def read(spark: SparkSession, out_dir: str, manifest: list[dict]) -> DataFrame:
         for pdf in batches:
             for n, name, start in zip(pdf["shard"], pdf["name"], pdf["start"]):
                 shard = Shard(f"{out_dir}/{name}")
-                out = []
-                for row in range(shard.rows):
-                    key = None if shard.nulls[row] else int(shard.keys[row])
-                    if row not in shard.rows_of(key):
-                        raise ValueError(f"{name}: the index loses key {key}")
-                    ids = shard.ids(row)
-                    out.append((key, start + shard.start(row), len(ids), zlib.crc32(ids.tobytes())))
+                keys, nulls, ends = shard.table()
+                ends = ends.astype(np.int64)
+                starts = np.concatenate([[0], ends[:-1]])
+                lo = 0
+                while lo < shard.rows:  # about a million ids at a time
+                    hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (1 << 20), side="right")))
+                    ids = shard.payload(int(starts[lo]), int(ends[hi - 1]))
+                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo])]
+                    doc_id = pd.array(keys[lo:hi], "Int64")
+                    doc_id[nulls[lo:hi].astype(bool)] = pd.NA
+                    yield pd.DataFrame({"doc_id": doc_id, "start": start + starts[lo:hi], "n_tokens": ends[lo:hi] - starts[lo:hi], "ids_crc32": crc, "shard": n})
+                    lo = hi
                 shard.close()
-                frame = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
-                frame["shard"] = n
-                yield frame
 
     return todo.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
-def lookup(out_dir: str, manifest: list[dict], key: int | None) -> list[np.ndarray]:
+def lookup(out_dir: str, manifest: list[dict] | None, key: int | None) -> list[np.ndarray]:
     """The id arrays of one document key: bisect the manifest, then one probe of the shard's index."""
-    for r in manifest:
-        if r["has_null"] if key is None else r["low"] is not None and r["low"] <= key <= r["high"]:
-            shard = Shard(f"{out_dir}/{r['name']}")
-            found = [shard.ids(i) for i in shard.rows_of(key)]
-            shard.close()
-            if found:
-                return found
-    return []
+    manifest = load_manifest(out_dir) if manifest is None else manifest
+    if key is None:
+        held = [r for r in manifest if r["has_null"]]
+    else:
+        known = [r for r in manifest if r["low"] is not None] if manifest and manifest[0]["low"] is None else manifest
+        at, held = bisect_left(known, key, key=lambda r: r["high"]), []
+        while at < len(known) and known[at]["low"] <= key:
+            held.append(known[at])
+            at += 1
+    found = []
+    for r in held:
+        shard = Shard(f"{out_dir}/{r['name']}")
+        found += [shard.ids(i) for i in shard.rows_of(key)]
+        shard.close()
+    return found
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:

@@ -70,3 +70,48 @@ def test_empty_table_and_strangers(spark):
     assert (prints[tokenids.find(strangers, pilots, seed, 1000)] == tokenids.fingerprint(strangers)).mean() < 1e-4
     with pytest.raises(ValueError):
         tokenids.build_mph(np.array([1, 1], np.int64))
+
+
+def test_a_lookup_reads_a_few_bytes_of_a_reopened_folder(spark, monkeypatch):
+    n = 20_000
+    df = spark.range(n).selectExpr("id * 3 as doc_id", "concat('word ', id, ' and more') as text")
+    folder = shared.work_dir(spark, "t")
+    tokenids.write(df, PATH, folder, shards=4)
+    manifest, read, total = tokenids.load_manifest(folder), tokenids.Shard._read, []
+    assert [r["rows"] for r in manifest] and sum(r["rows"] for r in manifest) == n
+
+    def counted(self, offset, size):
+        total.append(size)
+        return read(self, offset, size)
+
+    monkeypatch.setattr(tokenids.Shard, "_read", counted)
+    t = Tokenizer.from_file(PATH)
+    for i in (0, 7, 12_345, n - 1):
+        total.clear()
+        (ids,) = tokenids.lookup(folder, None, 3 * i)
+        assert ids.tolist() == t.encode(f"word {i} and more", add_special_tokens=False).ids + [2]
+        assert sum(total) <= tokenids.TRAILER + 4 + 12 + 1 + 8 + 16 + 2 * len(ids) and len(total) <= 7
+    assert tokenids.lookup(folder, None, 1) == [] and tokenids.lookup(folder, None, 3 * n) == []
+    assert tokenids.read(spark, folder).count() == n
+
+
+def test_an_id_of_many_rows_spans_shards(spark):
+    rows = [(5, f"{k:05d} text") for k in range(3000)] + [(None, f"{k:05d} none") for k in range(3000)] + [(i, "x") for i in range(10, 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = shared.work_dir(spark, "t")
+    manifest = tokenids.write(df, PATH, folder, shards=12)
+    assert max(r["rows"] for r in manifest) < 1500
+    assert len(tokenids.lookup(folder, None, 5)) == 3000 and len(tokenids.lookup(folder, None, None)) == 3000 and len(tokenids.lookup(folder, None, 11)) == 1
+    got = [(r["doc_id"], r["n_tokens"]) for r in tokenids.read(spark, folder).orderBy("start").collect()]
+    t = Tokenizer.from_file(PATH)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == [(i, len(t.encode(x, add_special_tokens=False).ids) + 1) for i, x in want]
+
+
+def test_letters_are_parted_from_stops_only_where_the_pattern_does():
+    from tokenizers import Regex, Tokenizer as T, models, pre_tokenizers
+
+    assert tokenids.parts_stops(T.from_file(PATH), tokenids.Encoder._STOPS)
+    t = T(models.BPE())
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"[^\s]+"), "removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    assert not tokenids.parts_stops(t, tokenids.Encoder._STOPS)
