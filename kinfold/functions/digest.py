@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import text_json
+
 VERSION = "v1"
 _BLOCK = 64
 
@@ -39,8 +41,8 @@ def keyed(key: bytes, context: Sequence[str | Column], payload: Column) -> Colum
     """Digest of a payload column in a context; the constant part of the message is one literal."""
     if all(isinstance(x, str) for x in context):
         head = _json([VERSION, *context])[:-1] + ","
-        # to_json gives ["payload"]: its first bracket is replaced by the literal head.
-        return F.when(payload.isNotNull(), hmac_column(key, F.concat(F.lit(head), F.substr(F.to_json(F.array(payload)), F.lit(2)))))
+        # text_json gives ["payload"]: its first bracket is replaced by the literal head.
+        return hmac_column(key, F.concat(F.lit(head), F.substr(text_json(payload), F.lit(2))))
     parts = [F.lit(x) if isinstance(x, str) else x for x in (VERSION, *context)]
     return F.when(payload.isNotNull(), hmac_column(key, F.to_json(F.array(*parts, payload))))
 

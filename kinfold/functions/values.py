@@ -6,6 +6,7 @@ null means no value. There is no float: FLOAT, DOUBLE and nested types are refus
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -30,21 +31,26 @@ def struct(tag: Column | str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.struct(tag.alias("type"), value.alias("value")))
 
 
-def typed(c: Column, kind: T.DataType, logical: str | None = None) -> Column:
-    """The typed value of a column; ``logical`` 'enum:Name' tags a backing value."""
+def typed_text(c: Column, kind: T.DataType, logical: str | None = None) -> tuple[str, Column]:
+    """Tag and text of a column's typed value; ``logical`` 'enum:Name' tags a backing value."""
     if logical and logical.startswith("enum:"):
-        return struct(logical, c.cast("string"))
+        return logical, c.cast("string")
     if isinstance(kind, T.StringType) or isinstance(kind, T.DecimalType):
-        return struct("string", c.cast("string"))
+        return "string", c.cast("string")
     if isinstance(kind, _WHOLE):
-        return struct("integer", c.cast("string"))
+        return "integer", c.cast("string")
     if isinstance(kind, T.BooleanType):
-        return struct("boolean", F.when(c, "1").when(~c, "0"))
+        return "boolean", F.when(c, "1").when(~c, "0")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return struct("datetime", atom(c))
+        return "datetime", atom(c)
     raise InvalidConfiguration(f"values of type {kind.simpleString()} cannot be compared or matched")
 
 
+def typed(c: Column, kind: T.DataType, logical: str | None = None) -> Column:
+    """The typed value of a column."""
+    return struct(*typed_text(c, kind, logical))
+
+
 def typed_equal(a: Column, b: Column) -> Column:
     """Both null, or equal in tag and value."""
     return a.eqNullSafe(b)
@@ -59,6 +65,23 @@ def tuple_json(parts: Sequence[Column]) -> Column:
     return F.when(known, whole)
 
 
+def text_json(value: Column) -> Column:
+    """A text as a JSON list of one, or null. The value is computed once, however dear it is."""
+    return F.nullif(F.to_json(F.array(value)), F.lit("[null]"))
+
+
+def tuple_text(parts: Sequence[tuple[str, Column]]) -> Column:
+    """What :func:`tuple_json` gives for (tag, text) pairs; each text is computed once.
+
+    A part is one concatenation around its text, which is null where the text is.
+    """
+    pieces: list[Column] = []
+    for tag, value in parts:
+        head = json.dumps(tag, ensure_ascii=False)
+        pieces += [F.lit(("," if pieces else "[") + f"[{head},"), F.substr(text_json(value), F.lit(2))]
+    return F.concat(*pieces, F.lit("]"))
+
+
 def list_json(parts: Sequence[Column]) -> Column:
     return F.to_json(F.array(*parts))
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidConfiguration
 from ..functions.normalize import Identity
-from ..functions.values import tuple_json
+from ..functions.values import tuple_text
 
 
 @dataclass(frozen=True)
@@ -39,4 +39,4 @@ class ExactRule:
         names = {f.name: f.dataType for f in schema.fields}
         if missing := [f for f in self.fields if f not in names]:
             raise InvalidConfiguration(f"rule {self.id}: no column {missing[0]}")
-        return tuple_json([self.normalizer.apply(F.col(f"`{f}`"), names[f], (logical or {}).get(f)) for f in self.fields])
+        return tuple_text([self.normalizer.text(F.col(f"`{f}`"), names[f], (logical or {}).get(f)) for f in self.fields])

@@ -133,3 +133,28 @@ def test_display(spark):
     df = spark.sql("select true b, cast(null as int) n, timestamp'2024-01-02 03:04:05.678' t, array(1, 2) a, 'x' s")
     got = df.select(*[values.display(F.col(c), df.schema[c].dataType) for c in df.columns]).first()
     assert list(got) == ["true", "", "2024-01-02T03:04:05+00:00", "[1,2]", "x"]
+
+
+def test_values_are_normalised_once(spark):
+    """A plan names each dear step once, whatever is made of its value."""
+    df = spark.createDataFrame([("A ", "b"), ("  ", "b"), (None, "c")], "x string, y string")
+    rule = ExactRule("r", ("x", "y"), normalize.TrimmedText(True))
+    out = df.select(digest.keyed(b"k", ["a"], rule.components(df.schema)).alias("d"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 2 and plan.count("trim(") == 2 and plan.count("sha2(") == 2
+    assert [r["d"] for r in out.collect()] == [digest.keyed_text(b"k", ["a"], '[["string","a"],["string","b"]]'), None, None]
+
+
+def test_tuple_text_equals_tuple_json(spark):
+    df = spark.sql("select * from values ('a', 1, true), ('é/\"\\n', 2, false), (null, 3, true), ('null', null, null), ('x', 4, null) as t(s, i, b)")
+    kinds = {c: df.schema[c].dataType for c in df.columns}
+    for names in (["s"], ["i", "b"], ["b", "s", "i"]):
+        a = values.tuple_json([values.typed(F.col(c), kinds[c]) for c in names])
+        b = values.tuple_text([values.typed_text(F.col(c), kinds[c]) for c in names])
+        rows = df.select(a.alias("a"), b.alias("b")).collect()
+        assert [r["a"] for r in rows] == [r["b"] for r in rows] and any(r["a"] for r in rows)
+
+
+def test_email_lengths(spark):
+    long = ["a" * 64 + "@example.com", "a" * 65 + "@example.com", "a@" + "b" * 63 + ".com", "a@" + "b" * 64 + ".com", "a@" + ".".join(["b" * 60] * 4) + ".example", "a@" + ".".join(["b" * 60] * 4) + ".examples.com"]
+    assert [text(v) is not None for v in apply(spark, normalize.Email(), long)] == [True, False, True, False, True, False]
