@@ -1,17 +1,19 @@
 """WARC archives and Merkle fixity audits of their replicas.
 
 :func:`write` stores pages as WARC 1.1 resource records, each its own gzip member, in
-segments (files) of one or more replicas, and returns the index: one row per record with
-its byte range and SHA-256. :func:`leaves` hashes those ranges as a replica holds them
-now. :func:`tree` hashes the leaves, in order of their offsets, into trees of fixed
-fan-out; a node covers a contiguous byte range. :func:`audit` compares two replicas from
-the roots down and follows only branches that differ, so sound segments cost one
-comparison.
+segments (files of bounded size) of one or more replicas, and returns the index: one row
+per record with its byte range and SHA-256. :func:`leaves` hashes those ranges as a replica
+holds them now, :func:`recorded` as the index remembers them; :func:`ends` adds a leaf for
+the length of each file. :func:`tree` hashes the leaves, in order of their offsets, into
+trees of fixed fan-out; a node covers a contiguous byte range. :func:`audit` compares two
+sets of trees from the roots down and follows only branches that differ, so sound segments
+cost one comparison. :func:`fixity` audits every replica against the index, so decay that
+both share, decay of the first and bytes behind the last record are all found.
 
 Edge cases: null or empty html is a record with an empty block; a null url has an empty
-target; a null id is kept; repeated rows are repeated records; a truncated or absent file
-gives leaves that differ from the index; an empty table has no segment; extra columns are
-ignored.
+target; a null id is kept; repeated rows are repeated records; a page of any length is one
+record; a truncated or absent file gives leaves that differ from the index; an empty table
+has no segment; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,12 @@ from pyspark.sql import functions as F
 from . import shared
 
 FAN_OUT = 16
-_INDEX = "segment int, ordinal long, page_id long, url string, offset long, length long, sha256 string"
-_LEAF = "segment int, idx long, first long, last long, digest string"
+#: Stored bytes from which a segment takes no further record.
+SEGMENT_BYTES = 256 << 20
+#: Segments that one task may write.
+_ROLLS = 1 << 20
+_INDEX = "segment long, ordinal long, page_id long, url string, offset long, length long, sha256 string"
+_LEAF = "segment long, idx long, first long, last long, digest string"
 
 
 def record(page_id: int | None, url: str | None, html: str | None, date: str) -> bytes:
@@ -55,11 +61,12 @@ def segment_name(segment: int) -> str:
     return f"segment-{segment:06d}.warc.gz"
 
 
-def write(pages: DataFrame, folders: list[str], date: str = "2024-01-01T00:00:00Z", damage: Callable[[int, str | None, bytes], bytes] | None = None) -> DataFrame:
+def write(pages: DataFrame, folders: list[str], date: str = "2024-01-01T00:00:00Z", damage: Callable[[int, str | None, bytes], bytes] | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Write every page to each replica folder; the index, in the shared folder.
 
-    A segment is one partition of the input, in its order, so nothing is shuffled. Files are
-    renamed when whole, so a task that runs again leaves complete files. ``damage(page_id, url, stored)`` may change the bytes that go
+    A partition of the input, in its order, becomes one segment or, above ``segment_bytes``,
+    several, so nothing is shuffled. Files are renamed when whole, so a task that runs again
+    leaves complete files. ``damage(page_id, url, stored)`` may change the bytes that go
     to the folders after the first: it stands for decay when an audit is exercised.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
@@ -68,11 +75,21 @@ def write(pages: DataFrame, folders: list[str], date: str = "2024-01-01T00:00:00
         import pyarrow as pa
 
         task = TaskContext.get()
-        segment, attempt, files, offset, ordinal = task.partitionId(), task.taskAttemptId(), [], 0, 0
+        segment, attempt, files, offset, ordinal = task.partitionId() * _ROLLS, task.taskAttemptId(), [], 0, 0
         places = [shared.filesystem(f) for f in folders]
+
+        def finish():
+            for f, (fs, folder) in zip(files, places):
+                f.close()
+                fs.move(f"{folder}/.{segment_name(segment)}-{attempt}", f"{folder}/{segment_name(segment)}")
+            files.clear()
+
         for b in batches:
             out = []
             for page_id, url, html in zip(*(b.column(c).to_pylist() for c in range(3))):
+                if files and offset >= segment_bytes:
+                    finish()
+                    segment, offset, ordinal = segment + 1, 0, 0
                 if not files:
                     for fs, folder in places:
                         fs.create_dir(folder, recursive=True)
@@ -83,15 +100,22 @@ def write(pages: DataFrame, folders: list[str], date: str = "2024-01-01T00:00:00
                 out.append((segment, ordinal, page_id, url, offset, len(stored), hashlib.sha256(stored).hexdigest()))
                 offset += len(stored)
                 ordinal += 1
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["segment", "ordinal", "page_id", "url", "offset", "length", "sha256"])
-        for f, (fs, folder) in zip(files, places):
-            f.close()
-            fs.move(f"{folder}/.{segment_name(segment)}-{attempt}", f"{folder}/{segment_name(segment)}")
+        finish()
 
     return shared.cut(rows.mapInArrow(run, _INDEX))
 
 
+def _open(folder: str, segment: int):
+    """The file of a segment, or None where it is absent."""
+    fs, base = shared.filesystem(folder)
+    try:
+        return fs.open_input_file(f"{base}/{segment_name(segment)}")
+    except FileNotFoundError:
+        return None
+
+
 def leaves(index: DataFrame, folder: str) -> DataFrame:
     """A leaf per record: the hash of its byte range as the replica in ``folder`` holds it now."""
 
@@ -104,11 +128,7 @@ def leaves(index: DataFrame, folder: str) -> DataFrame:
             digests = []
             for s, o, n in zip(segments, offsets, lengths):
                 if s != held:
-                    fs, base = shared.filesystem(folder)
-                    try:
-                        handle, held = fs.open_input_file(f"{base}/{segment_name(s)}"), s
-                    except FileNotFoundError:
-                        handle, held = None, s
+                    handle, held = _open(folder, s), s
                 raw = handle.read_at(n, o) if handle is not None and o < handle.size() else b""
                 digests.append(hashlib.sha256(f"{o}:{n}:".encode() + hashlib.sha256(raw).digest()).hexdigest())
             last = [o + n for o, n in zip(offsets, lengths)]
@@ -117,6 +137,36 @@ def leaves(index: DataFrame, folder: str) -> DataFrame:
     return index.select("segment", "ordinal", "offset", "length").sortWithinPartitions("segment", "offset").mapInArrow(run, _LEAF)
 
 
+def _bare_ends(index: DataFrame) -> DataFrame:
+    """segment, idx, first, last of a leaf behind the last record of each segment."""
+    end = F.max(F.col("offset") + F.col("length"))
+    return index.groupBy("segment").agg((F.max("ordinal") + 1).alias("idx"), end.alias("first"), end.alias("last"))
+
+
+def ends(index: DataFrame, folder: str) -> DataFrame:
+    """A leaf per segment behind its records: the length of its file as the replica in ``folder`` holds it now."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sizes = []
+            for s in b.column(0).to_pylist():
+                handle = _open(folder, s)
+                sizes.append("none" if handle is None else str(handle.size()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(4)), pa.array([hashlib.sha256(f"end:{n}".encode()).hexdigest() for n in sizes], pa.string())], names=["segment", "idx", "first", "last", "digest"])
+
+    return _bare_ends(index).mapInArrow(run, _LEAF)
+
+
+def recorded(index: DataFrame) -> DataFrame:
+    """The leaves and ends of a replica that is as it was written, from the hashes in the index."""
+    head = F.encode(F.concat_ws(":", "offset", "length", F.lit("")), "UTF-8")
+    digest = F.sha2(F.concat(head, F.unhex("sha256")), 256)
+    own = index.select("segment", F.col("ordinal").alias("idx"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), digest.alias("digest"))
+    return own.unionByName(_bare_ends(index).withColumn("digest", F.sha2(F.concat(F.lit("end:"), F.col("last").cast("string")), 256)))
+
+
 def tree(leaf: DataFrame, fan_out: int = FAN_OUT) -> list[DataFrame]:
     """Levels of each segment's tree, leaves first; the last level has the roots.
 
@@ -164,13 +214,36 @@ def decays(page_id, url, share: int) -> bool:
     return zlib.crc32(f"{page_id}|{url}".encode()) % share == 0
 
 
+def check(index: DataFrame, folders: list[str], fan_out: int = FAN_OUT) -> DataFrame:
+    """replica (its place in ``folders``) and segment, idx, first, last, expected, found of every leaf
+    that is not as the index remembers it. The last idx of a segment stands for the length of its file."""
+    many, found = len(folders), None
+    for k, folder in enumerate(folders):
+        # The trees of all replicas are built and compared together: a tree is one segment of one replica.
+        own = leaves(index, folder).unionByName(ends(index, folder)).withColumn("segment", F.col("segment") * many + k)
+        found = own if found is None else found.unionByName(own)
+    good = recorded(index).withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    good = good.withColumn("segment", F.col("segment") * many + F.col("replica")).drop("replica")
+    bad = audit(tree(good, fan_out), tree(found, fan_out), fan_out)
+    return bad.withColumn("replica", (F.col("segment") % many).cast("int")).withColumn("segment", F.floor(F.col("segment") / many))
+
+
 def fixity(pages: DataFrame, folder: str, damage: Callable[[int, str | None, bytes], bytes] | None = None) -> DataFrame:
-    """Archive the pages in two replicas below ``folder``, audit the second against the first, and report each record.
+    """Archive the pages in two replicas below ``folder``, audit both against the index, and report each record.
 
-    page_id, url, segment, ordinal, offset, length, sha256 (of the stored record) and sound.
+    page_id, url, segment, ordinal, offset, length, sha256 (of the stored record), sound (in both
+    replicas), bad_replicas, and segment_whole: both files have the length that was written.
     """
-    a, b = os.path.join(folder, "a"), os.path.join(folder, "b")
-    index = write(pages, [a, b], damage=damage)
-    bad = audit(tree(leaves(index, a)), tree(leaves(index, b)))
-    bad = bad.select("segment", F.col("idx").alias("ordinal"), F.lit(False).alias("_sound"))
-    return index.join(bad, ["segment", "ordinal"], "left").withColumn("sound", F.coalesce("_sound", F.lit(True))).drop("_sound")
+    folders = [os.path.join(folder, "a"), os.path.join(folder, "b")]
+    index = write(pages, folders, damage=damage)
+    return report(index, check(index, folders))
+
+
+def report(index: DataFrame, bad: DataFrame) -> DataFrame:
+    """The records of the index with what a check found of them."""
+    bad = bad.select("segment", F.col("idx").alias("ordinal"), "replica")
+    per = bad.groupBy("segment", "ordinal").agg(F.array_sort(F.collect_set("replica")).alias("bad_replicas"))
+    torn = bad.join(_bare_ends(index).select("segment", F.col("idx").alias("ordinal")), ["segment", "ordinal"], "left_semi")
+    torn = torn.select("segment", F.lit(False).alias("segment_whole")).distinct()
+    out = index.join(per, ["segment", "ordinal"], "left").join(torn, "segment", "left")
+    return out.withColumn("sound", F.col("bad_replicas").isNull()).withColumn("bad_replicas", F.coalesce("bad_replicas", F.array().cast("array<int>"))).withColumn("segment_whole", F.coalesce("segment_whole", F.lit(True)))

@@ -60,3 +60,54 @@ def test_odd_rows(spark):
     out = warc.fixity(pages, shared.work_dir(spark, "w")).collect()
     assert len(out) == 4 and all(r["sound"] for r in out)
     assert warc.fixity(pages.where("false"), shared.work_dir(spark, "w")).count() == 0
+
+
+def test_the_index_convicts_either_replica(spark):
+    """Decay of the first, of both alike, an appended and a lost file, over segments of bounded size."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 40)) for i in range(200)], "page_id long, url string, html string").repartition(3)
+    folder = shared.work_dir(spark, "w")
+    folders = [f"{folder}/a", f"{folder}/b"]
+    index = warc.write(pages, folders, segment_bytes=4000)
+    rows = index.collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["segment"], []).append(r)
+    assert len(by) > 6 and all(sum(r["length"] for r in own[:-1]) < 4000 for own in by.values())
+    assert warc.check(index, folders).count() == 0
+    first, both, longer, lost = sorted(by)[:4]
+
+    def path(k, segment):
+        return os.path.join(shared.local_path(folders[k]), warc.segment_name(segment))
+
+    def flip(k, segment, r):
+        with open(path(k, segment), "r+b") as f:
+            f.seek(r["offset"] + 5)
+            old = f.read(1)
+            f.seek(r["offset"] + 5)
+            f.write(bytes([old[0] ^ 1]))
+
+    flip(0, first, by[first][2])
+    for k in (0, 1):
+        flip(k, both, by[both][0])
+    with open(path(1, longer), "ab") as f:
+        f.write(b"tail")
+    os.remove(path(0, lost))
+    bad = {(r["replica"], r["segment"], r["idx"]) for r in warc.check(index, folders, 4).collect()}
+    want = {(0, first, 2), (0, both, 0), (1, both, 0), (1, longer, len(by[longer]))} | {(0, lost, i) for i in range(len(by[lost]) + 1)}
+    assert bad == want
+    out = {(r["segment"], r["ordinal"]): r for r in warc.report(index, warc.check(index, folders)).collect()}
+    assert len(out) == len(rows)
+    for r in rows:
+        got, key = out[r["segment"], r["ordinal"]], (r["segment"], r["ordinal"])
+        assert got["bad_replicas"] == [k for k in (0, 1) if (k, *key) in want] and got["sound"] == (not got["bad_replicas"])
+        assert got["segment_whole"] == (r["segment"] not in (longer, lost))
+
+
+def test_very_long_page(spark):
+    pages = spark.createDataFrame([(1, "u", "é<p>" * 2_000_000), (2, "v", "x")], "page_id long, url string, html string").coalesce(1)
+    folder = shared.work_dir(spark, "w")
+    out = {r["page_id"]: r for r in warc.fixity(pages, folder).collect()}
+    assert all(r["sound"] and r["segment_whole"] for r in out.values())
+    with open(os.path.join(shared.local_path(folder), "b", warc.segment_name(out[1]["segment"])), "rb") as f:
+        fields, block = warc.parse(f.read(out[1]["length"]))
+    assert len(block) == 10_000_000 == int(fields["Content-Length"])
