@@ -16,9 +16,10 @@ occurs in a document makes it a candidate, so none is missed. Otherwise a docume
 shares a minimum with an item is a candidate. Candidates are verified with all shingles of
 the whole document, so nothing false is reported.
 
-Items are taken in blocks of bounded size: only a block is sent to the executors, and the
-documents are scanned once a block, so a benchmark of any size works and no document is
-shuffled.
+Items are prepared on the executors in blocks of bounded size, each a file in the shared
+folder. Documents are read once and not shuffled: a task searches each batch of them for
+one block after the other and keeps few blocks in memory, so a benchmark of any size works
+and the driver knows only the names of the blocks.
 
 Edge cases: null and empty items or documents have no shingle and never match; a text of
 1 to 4 words is one shingle; repeated rows are reported each; equal items are all
@@ -27,7 +28,8 @@ reported; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,8 +45,9 @@ class Settings:
     threshold: float = 0.8
     bins: int = 64
     short: int = 16  #: size classes up to so many shingles have every shingle as a signature value
-    block_items: int = 20_000  #: items held by an executor at a time
+    block_items: int = 20_000  #: items of a block, about
     block_chars: int = 16_000_000  #: and their characters
+    kept_blocks: int = 2  #: blocks that a Python worker keeps in memory
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,7 @@ class Items:
     """A block of items, ready to search."""
 
     ids: np.ndarray
+    times: np.ndarray  #: rows of the benchmark with this id and text
     sizes: np.ndarray  #: distinct shingles of each item
     shingle: np.ndarray  #: sorted distinct shingles of all items
     holders: np.ndarray  #: items by shingle, owned as bounds say
@@ -66,7 +70,7 @@ def _bins(h: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
     return (v % np.uint64(bins)).astype(np.int64), v
 
 
-def prepare(ids: list, texts: list[str | None], s: Settings) -> Items:
+def prepare(ids: Sequence, texts: Sequence[str | None], s: Settings, times: Sequence[int] | None = None) -> Items:
     h, bounds = shingles(texts, ALPHANUMERIC)
     own = [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
     sizes = np.array([len(x) for x in own], np.int64)
@@ -91,7 +95,7 @@ def prepare(ids: list, texts: list[str | None], s: Settings) -> Items:
         values, items = np.concatenate(values), np.concatenate(items)
         by = np.argsort(values, kind="stable")
         classes.append((1 << e, values[by], items[by]))
-    return Items(np.array(ids, dtype=object), sizes, distinct, who[order], np.append(first, len(pairs)), classes, s)
+    return Items(np.array(ids, dtype=object), np.ones(len(own), np.int64) if times is None else np.asarray(times, np.int64), sizes, distinct, who[order], np.append(first, len(pairs)), classes, s)
 
 
 def _window_minima(b: np.ndarray, v: np.ndarray, u: int, bins: int, hits: np.ndarray) -> np.ndarray:
@@ -156,49 +160,100 @@ def search(texts: list[str | None], items: Items) -> Iterator[tuple[int, int, in
                     yield lo + doc, i, int(common[i])
 
 
-def _blocks(benchmark: DataFrame, s: Settings) -> Iterator[Items]:
-    ids, texts, size = [], [], 0
-    for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        size += len(r["text"])
-        if len(ids) >= s.block_items or size >= s.block_chars:
-            yield prepare(ids, texts, s)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield prepare(ids, texts, s)
+def _saved(items: Items) -> bytes:
+    """A block as the bytes of plain arrays."""
+    null = np.array([i is None for i in items.ids], bool)
+    ids = np.array([0 if i is None else i for i in items.ids], np.int64)
+    classes = {f"{kind}{u}": x for u, values, members in items.classes for kind, x in (("values", values), ("members", members))}
+    out = io.BytesIO()
+    np.savez(out, ids=ids, null=null, times=items.times, sizes=items.sizes, shingle=items.shingle, holders=items.holders, bounds=items.bounds, limits=[u for u, _, _ in items.classes], **classes)
+    return out.getvalue()
+
+
+def _loaded(raw: bytes, s: Settings) -> Items:
+    z = np.load(io.BytesIO(raw))
+    ids = np.array([None if n else int(i) for i, n in zip(z["ids"], z["null"])], dtype=object)
+    classes = [(int(u), z[f"values{int(u)}"], z[f"members{int(u)}"]) for u in z["limits"]]
+    return Items(ids, z["times"], z["sizes"], z["shingle"], z["holders"], z["bounds"], classes, s)
+
+
+def _block(folder: str, name: str, s: Settings) -> Items:
+    """A block from the shared folder, or from this process's memory of the last few."""
+    held = shared.per_process("decontaminate-blocks", dict)
+    key = (folder, name, s)
+    if key not in held:
+        while len(held) >= s.kept_blocks:
+            held.pop(next(iter(held)))
+        fs, path = shared.filesystem(f"{folder}/{name}")
+        with fs.open_input_file(path) as f:
+            held[key] = _loaded(f.read(), s)
+    return held[key]
+
+
+def store_blocks(benchmark: DataFrame, folder: str, s: Settings = Settings()) -> list[str]:
+    """Prepare the items as blocks below ``folder``, one task a block; the names of the files.
+
+    Rows with equal id and text are one item that knows how often it comes.
+    """
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    rows = shared.cut(rows.groupBy("item_id", "text").agg(F.count("*").alias("times")))
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    if not n:
+        return []
+    many = max(-(-n // s.block_items), -(-chars // s.block_chars))
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        ids, texts, times = [], [], []
+        for b in batches:
+            for own, column in ((ids, 0), (texts, 1), (times, 2)):
+                own += b.column(column).to_pylist()
+        if ids:
+            task = TaskContext.get()
+            name = f"block-{task.partitionId():06d}.npz"
+            fs, path = shared.filesystem(folder)
+            fs.create_dir(path, recursive=True)
+            with fs.open_output_stream(f"{path}/.{name}-{task.taskAttemptId()}") as f:
+                f.write(_saved(prepare(ids, texts, s, times)))
+            fs.move(f"{path}/.{name}-{task.taskAttemptId()}", f"{path}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    dealt = rows.repartitionById(many, F.pmod(F.xxhash64("item_id", "text"), F.lit(many)).cast("int"))
+    return sorted(r[0] for r in dealt.mapInArrow(run, "name string").collect())  # one row a block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, shared, item_shingles, containment of every document that holds an item."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, shared long, item_shingles long, containment double"
-    out = spark.createDataFrame([], schema)
-    for items in _blocks(benchmark, settings):
-        held = spark.sparkContext.broadcast(items)  # bounded by the block's settings
-
-        def run(batches, held=held):
-            import pyarrow as pa
-
-            for batch in batches:
-                block, ids = held.value, batch.column(0).to_pylist()
-                rows = [(ids[d], block.ids[i], n, int(block.sizes[i]), n / block.sizes[i]) for d, i, n in search(batch.column(1).to_pylist(), block)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    folder = shared.work_dir(docs.sparkSession, "benchmark")
+    names = store_blocks(benchmark, folder, settings)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for name in names:
+                block = _block(folder, name, settings)
+                rows = [(ids[d], block.ids[i], n, int(block.sizes[i]), n / block.sizes[i]) for d, i, n in search(texts, block) for _ in range(block.times[i])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "shared", "item_shingles", "containment"])
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
-    return out
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, shared long, item_shingles long, containment double")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that hold no item, with all their columns and no shuffle."""
-    out, spark = docs, docs.sparkSession
-    for items in _blocks(benchmark, settings):
-        held = spark.sparkContext.broadcast(items)
-
-        def wanted(texts, held=held):
-            bad = {d for d, _, _ in search(texts, held.value)}
-            return [i not in bad for i in range(len(texts))]
-
-        out = shared.keep_texts(out, wanted)
-    return out
+    folder = shared.work_dir(docs.sparkSession, "benchmark")
+    names = store_blocks(benchmark, folder, settings)
+
+    def wanted(texts):
+        bad = np.zeros(len(texts), bool)
+        for name in names:
+            left = np.flatnonzero(~bad)
+            for d, _, _ in search([texts[i] for i in left], _block(folder, name, settings)):
+                bad[left[d]] = True
+        return ~bad
+
+    return shared.keep_texts(docs, wanted)

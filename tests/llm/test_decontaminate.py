@@ -64,3 +64,26 @@ def test_odd_rows(spark):
     kept = dc.clean(d, b)
     assert kept.schema == d.schema and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
     assert dc.contaminated(d, b.where("false")).count() == 0 and dc.clean(d.where("false"), b).count() == 0
+
+
+def test_blocks_come_back_and_count_repeated_items(spark):
+    texts = ["one two three four five six", "a b", "x " * 60 + "end", ""]
+    made = dc.prepare([5, None, 7, 8], texts, dc.Settings(), [1, 2, 1, 1])
+    back = dc._loaded(dc._saved(made), dc.Settings())
+    docs = ["zero one two three four five six", "a b", "x " * 60 + "end of it"]
+    assert list(dc.search(docs, back)) == list(dc.search(docs, made)) and back.ids.tolist() == [5, None, 7, 8]
+    b = spark.createDataFrame([(5, texts[0])] * 3 + [(None, texts[1])] * 2 + [(9, texts[0])] + [(k, f"never seen item number {k} at all") for k in range(10, 60)], "item_id long, text string")
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id long, text string")
+    for s in (dc.Settings(), dc.Settings(block_items=3)):
+        got = sorted((r["doc_id"], str(r["item_id"])) for r in dc.contaminated(d, b, s).collect())
+        assert got == [(0, "5")] * 3 + [(0, "9"), (1, "None"), (1, "None")]
+        assert [r["doc_id"] for r in dc.clean(d, b, s).collect()] == [2]
+
+
+def test_items_of_five_words_in_documents_of_six():
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    items = [words(5) for _ in range(6000)]
+    docs = [f"{x} {words(1)}" if k % 2 else f"{words(1)} {x}" for k, x in enumerate(items)]
+    found = {(d, i) for d, i, _ in dc.search(docs, dc.prepare(range(len(items)), items, dc.Settings()))}
+    assert found == {(k, k) for k in range(len(items))}
