@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import threading
 import time
 from collections.abc import Callable, Iterable
 from typing import Any
@@ -17,7 +18,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..errors import DomainConflict
+from ..errors import DomainConflict, RetryExhausted
 from ..plans.context import Ability, Context, require
 from ..plans.definition import Definition, scoped
 from ..sources.store import Store
@@ -40,10 +41,13 @@ def ulid(now: dt.datetime | None = None) -> str:
 
 
 class Scans:
-    """The scan lifecycle over a store. ``clock`` gives aware UTC times; ``listeners`` get (event, dict) after a commit."""
+    """The scan lifecycle over a store. ``clock`` gives aware UTC times; ``listeners`` get (event, dict) after a commit.
 
-    def __init__(self, store: Store, key: bytes, clock: Callable[[], dt.datetime] | None = None, listeners: Iterable[Callable[[str, dict], None]] = ()):
-        self.store, self.key, self.listeners = store, key, list(listeners)
+    A scan that runs renews its heartbeat every ``heartbeat`` seconds, so recovery tells long scans from dead ones.
+    """
+
+    def __init__(self, store: Store, key: bytes, clock: Callable[[], dt.datetime] | None = None, listeners: Iterable[Callable[[str, dict], None]] = (), heartbeat: float = 60.0):
+        self.store, self.key, self.listeners, self.heartbeat = store, key, list(listeners), heartbeat
         self.clock = clock or (lambda: dt.datetime.now(dt.timezone.utc))
 
     def _tell(self, event: str, **about: Any) -> bool:
@@ -88,6 +92,23 @@ class Scans:
 
         self.store.commit(change)
 
+    def _beat(self, scan_id: str, done: threading.Event) -> None:
+        """Renew the heartbeat until the work is done or the scan is not active any more."""
+
+        def change(state):
+            scan = state["scans"].get(scan_id)
+            if scan is None or scan["state"] not in ACTIVE:
+                raise DomainConflict("the scan is no longer active")
+            scan["heartbeat_at"] = self.clock().isoformat()
+
+        while not done.wait(self.heartbeat):
+            try:
+                self.store.commit(change)
+            except RetryExhausted:
+                continue  # others were busy; the next beat will do
+            except DomainConflict:
+                return
+
     def run(self, d: Definition, context: Context, scan_id: str, records: DataFrame, ledger: DataFrame | None = None, domain: str = "", keys_unique: bool = True) -> dict[str, int]:
         """Index the scope's records as one batch job and publish; counters are of rows read, indexed and skipped.
 
@@ -100,6 +121,9 @@ class Scans:
             raise DomainConflict("the scan belongs to another scope or revision")
         now = self.clock().isoformat()
         self._move(scan_id, "running", started_at=now, heartbeat_at=now)
+        done = threading.Event()
+        beating = threading.Thread(target=self._beat, args=(scan_id, done), daemon=True)
+        beating.start()
         try:
             read, kept, made = Observation("read"), Observation("kept"), Observation("made")
             own = with_record_id(d, scoped(d, records, context)).observe(read, F.count(F.lit(1)).alias("n"))
@@ -111,6 +135,8 @@ class Scans:
             rows.write.mode("overwrite").partitionBy("rule_id").parquet(path)
             scanned, left, indexed = (int(o.get["n"]) for o in (read, kept, made))
             counters = {"chunks": 1, "scanned": scanned, "indexed": indexed, "skipped_retired": scanned - left}
+            done.set()
+            beating.join()
             self.publish(d, scan_id, counters)
             return counters
         except DomainConflict:
@@ -118,6 +144,8 @@ class Scans:
         except Exception:
             self.fail(scan_id, FAILED)
             raise
+        finally:
+            done.set()
 
     def _has_rows(self, path: str) -> bool:
         fs, p = self.store._fs, self.store._path
