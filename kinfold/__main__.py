@@ -1,6 +1,7 @@
 """Command line: python -m kinfold scan|recover|prune --definition module:name --store PATH ...
 
-scan needs --actor and --input (a folder of Parquet tables).
+scan needs --actor and --input (a folder of Parquet tables). Records that were merged are skipped: by the
+ledger of the store, or by the one at --ledger (Parquet).
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ import sys
 from pyspark.sql import SparkSession
 
 from .errors import EngineError
+from .functions.digest import retirement_domain
+from .operators.desk import LEDGER_TABLE
 from .operators.lifecycle import Scans
+from .operators.resolve import LEDGER
 from .plans.context import ServiceContextResolver, resolve
 from .sources.scan import host
 from .sources.store import Store
@@ -29,6 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     scan.add_argument("--input", required=True)
     scan.add_argument("--actor", required=True)
     scan.add_argument("--tenant")
+    scan.add_argument("--ledger")
     recover.add_argument("--minutes", type=int, default=15)
     prune.add_argument("--days", type=int, default=30)
     a = p.parse_args(argv)
@@ -47,7 +52,8 @@ def main(argv: list[str] | None = None) -> int:
             d = getattr(importlib.import_module(module), name)
             context = resolve(d, ServiceContextResolver(a.actor, "cli", a.tenant), key)
             scan_id = scans.start(d, context)
-            print(scans.run(d, context, scan_id, host(spark, a.input, d.table)))
+            ledger = spark.read.parquet(a.ledger) if a.ledger else scans.store.read(LEDGER_TABLE, LEDGER)
+            print(scans.run(d, context, scan_id, host(spark, a.input, d.table), ledger, retirement_domain(d.connection, d.table, d.domain)))
     except EngineError as e:
         print(f"{e.code}: {e}", file=sys.stderr)
         return 1

@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from ..functions.digest import keyed
 from ..functions.normalize import ascii_trim
-from ..functions.values import encode_id, id_order, record_id, typed, typed_equal
+from ..functions.values import encode_id, id_order, key_domain, record_id, typed, typed_equal
 from ..plans.definition import Definition, MergeField, Relation, validate
+from ..sources.work import cut
 from .keys import rule_digest
 from .review import plan_title
 
@@ -136,27 +137,22 @@ def collisions(r: Relation, pairs: DataFrame, children: DataFrame) -> DataFrame:
     (null equals null), or with another moving child (null equals the empty text there).
     A key of the foreign key alone allows one child in all.
     """
+    side = lambda name, source: pairs.select(F.col(name).alias("_parent"), *PAIR, F.lit(source).alias("_source"))
+    ends = side("source_id", True).unionByName(side("survivor_id", False))
     found = None
     for key in r.unique_keys:
         if r.foreign_key not in key:
             continue
         others = [c for c in key if c != r.foreign_key]
-        moving = _of(r, pairs, children, "source")
-        held = _of(r, pairs, children, "survivor").select(*PAIR, *[F.col(f"`{c}`").alias(f"_{c}") for c in others])
-        if others:
-            same = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"_{c}") for c in others]
-            among = moving.groupBy(*PAIR, *same).agg(F.count("*").alias("n")).where("n > 1").select(*PAIR)
-            match = [moving[p].eqNullSafe(held[p]) for p in PAIR] + [moving[c].eqNullSafe(held[f"_{c}"]) for c in others]
-            condition = match[0]
-            for m in match[1:]:
-                condition = condition & m
-            against = moving.join(held, condition, "left_semi").select(*PAIR)
-        else:
-            many = moving.groupBy(*PAIR).agg(F.count("*").alias("n"))
-            among = many.where("n > 1").select(*PAIR)
-            against = many.join(held, PAIR, "left_semi").select(*PAIR)
-        rows = among.unionByName(against).distinct().withColumn("relation", F.lit(r.name)).withColumn("unique_key", F.lit(",".join(key)))
-        found = rows if found is None else found.unionByName(rows)
+        own = inventory(r, children).select(F.col(r.foreign_key).cast("string").alias("_parent"), *[F.col(f"`{c}`") for c in others])
+        # Children that are equal with null as empty text meet in a group; which of them are null tells them apart against the survivor's.
+        nulls = F.concat_ws("", F.lit("-"), *[F.col(f"`{c}`").isNull().cast("string") for c in others]).alias("_nulls")
+        rows = own.join(ends, "_parent").select(*PAIR, "_source", nulls, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"_k{i}") for i, c in enumerate(others)])
+        kinds = [F.collect_set(F.when(F.col("_source") == x, F.col("_nulls"))).alias(n) for x, n in ((True, "_moving"), (False, "_held"))]
+        met = rows.groupBy(*PAIR, *[f"_k{i}" for i in range(len(others))]).agg(F.count_if("_source").alias("_n"), *kinds)
+        hit = met.where((F.col("_n") > 1) | F.arrays_overlap("_moving", "_held")).select(*PAIR).distinct()
+        hit = hit.withColumn("relation", F.lit(r.name)).withColumn("unique_key", F.lit(",".join(key)))
+        found = hit if found is None else found.unionByName(hit)
     if found is None:
         return pairs.select(*PAIR).limit(0).withColumn("relation", F.lit(r.name)).withColumn("unique_key", F.lit(""))
     return found
@@ -176,6 +172,18 @@ def record_print(d: Definition, schema: T.StructType, key: bytes) -> Column:
     return F.to_json(F.array(*parts))
 
 
+def _pair_print(d: Definition, key: bytes, retired: Column, ids: Column) -> Column:
+    """Digest of a pair with encoded ids _source_e, _survivor_e and record prints _source_p, _survivor_p."""
+    swap = F.col("_source_e") > F.col("_survivor_e")
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    body = F.to_json(F.array(pick("_source_e", "_survivor_e"), pick("_survivor_e", "_source_e"), pick("_source_p", "_survivor_p"), pick("_survivor_p", "_source_p"), F.lit(d.revision), retired.cast("string"), ids))
+    return keyed(key, ["pair", d.id], body)
+
+
+def _sorted_ids(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.coalesce(c, no_texts())), ",")
+
+
 def fingerprints(d: Definition, pairs: DataFrame, records: DataFrame, key: bytes, children: DataFrame | None = None, retired: Column | None = None) -> DataFrame:
     """One digest per pair over both records, the revision, whether the source is retired, and the children.
 
@@ -187,13 +195,8 @@ def fingerprints(d: Definition, pairs: DataFrame, records: DataFrame, key: bytes
         p = p.join(prints.select(F.col("_k").alias(f"{side}_id"), F.col("_e").alias(f"_{side}_e"), F.col("_p").alias(f"_{side}_p")), f"{side}_id")
     if children is not None:
         p = p.join(children, PAIR, "left")
-        ids = F.array_join(F.array_sort(F.coalesce("child_ids", F.array().cast("array<string>"))), ",")
-    else:
-        ids = F.lit("")
-    swap = F.col("_source_e") > F.col("_survivor_e")
-    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    body = F.to_json(F.array(pick("_source_e", "_survivor_e"), pick("_survivor_e", "_source_e"), pick("_source_p", "_survivor_p"), pick("_survivor_p", "_source_p"), F.lit(d.revision), (F.lit(False) if retired is None else retired).cast("string"), ids))
-    return p.select(*PAIR, keyed(key, ["pair", d.id], body).alias("fingerprint"))
+    ids = F.lit("") if children is None else _sorted_ids(F.col("child_ids"))
+    return p.select(*PAIR, _pair_print(d, key, F.lit(False) if retired is None else retired, ids).alias("fingerprint"))
 
 
 def _is_field(name: str):
@@ -204,74 +207,118 @@ def _prefixed(text: str):
     return lambda x: F.concat(F.lit(text), x)
 
 
+def _compared(d: Definition, pairs: DataFrame, records: DataFrame, key: bytes) -> DataFrame:
+    """Pairs of two visible records: title, permission, differences, errors and prints, from one join with each side."""
+    schema, names = records.schema, set(records.columns)
+    own = records.withColumn("_p", record_print(d, schema, key)).withColumn("_e", encode_id(record_id(F.col(d.key), schema[d.key].dataType))).withColumn("_may", d.authorizer.view())
+    p = joined(d, pairs.where("source_id <> survivor_id"), own)
+    p = p.withColumn("differences", differences(d, schema))
+    title = F.col(f"survivor__{d.title}") if d.title else None
+    permitted = F.coalesce(d.authorizer.pair() & F.col("source___may") & F.col("survivor___may"), F.lit(False))
+    held = F.struct(*PAIR, plan_title(title, F.col(f"survivor__{d.key}")).alias("survivor_title"), permitted.alias("permitted"), "differences", *[F.col(f"{side}__{c}").alias(f"_{side}{c}") for side in ("source", "survivor") for c in ("_e", "_p")])
+    if d.validator is None:
+        return p.select(held.alias("_held")).select("_held.*", no_texts().alias("errors"))
+    taken = {f.name: F.when(F.element_at(F.filter("differences", _is_field(f.name)), 1)["resolution"].isin("both_missing", "take_source"), F.col(f"source__{f.name}")).otherwise(F.col(f"survivor__{f.name}")) for f in d.fields if f.name in names}
+    p = p.select(held.alias("_held"), *[c.alias(n) for n, c in taken.items()])
+    return p.select("_held.*", d.validator().alias("errors"))
+
+
+def _per_parent(d: Definition, r: Relation, ends: DataFrame, children: DataFrame) -> DataFrame:
+    """Children of the parents in ``ends`` (parent, is_source), counted once a parent: n, may, and of sources their encoded ids in order."""
+    rid = record_id(F.col(r.key), children.schema[r.key].dataType)
+    own = inventory(r, children).select(F.col(r.foreign_key).cast("string").alias("parent"), F.struct(id_order(rid).alias("o"), encode_id(rid).alias("id")).alias("_id"), d.authorizer.child().alias("_may"))
+    own = own.join(ends, "parent")
+    ids = F.array_sort(F.collect_list(F.when(F.col("is_source"), F.col("_id"))))
+    return own.groupBy("parent").agg(F.count("*").alias("n"), F.bool_and("_may").alias("may"), ids.alias("x")).select("parent", "n", "may", F.col("x.id").alias("ids"))
+
+
+def _related(d: Definition, r: Relation, p: DataFrame, pairs: DataFrame, children: DataFrame) -> DataFrame:
+    """Adds the impact, the moved children and the blockers of a relation, as _i, _m and _b with its name."""
+    sources = pairs.select(F.col("source_id").alias("parent"), F.lit(True).alias("is_source"))
+    ends = sources.unionByName(pairs.select(F.col("survivor_id").alias("parent"), F.lit(False).alias("is_source"))).groupBy("parent").agg(F.bool_or("is_source").alias("is_source"))
+    per = cut(_per_parent(d, r, ends, children))
+    hit = collisions(r, pairs, children).select(*PAIR, F.lit(True).alias("_hit")).distinct()
+    source = per.select(F.col("parent").alias("source_id"), F.col("n").alias("_moving"), "may", "ids")
+    survivor = per.select(F.col("parent").alias("survivor_id"), F.col("n").alias("_current"))
+    p = p.join(source, "source_id", "left").join(survivor, "survivor_id", "left").join(hit, PAIR, "left")
+    moving, current = F.coalesce("_moving", F.lit(0)), F.coalesce("_current", F.lit(0))
+    summary = F.format_string("Move %d %s to %s; resulting total %d.", moving, F.lit(r.name), F.col("survivor_id"), moving + current)
+    impact = F.struct(F.lit(r.name).alias("relation"), moving.alias("moving"), current.alias("current"), (moving + current).alias("resulting"), summary.alias("summary"))
+    moved = F.struct(F.lit(r.name).alias("relation"), moving.alias("count"), F.coalesce("ids", no_texts()).alias("child_ids"))
+    blockers = F.concat(
+        _one(~F.coalesce("may", F.lit(True)), f"forbidden_operation:{r.name}"),
+        _one(F.lit(False) if r.cap is None else moving > r.cap, f"merge_too_large:{r.name}"),
+        _one(F.coalesce("_hit", F.lit(False)), f"collision:{r.name}"),
+    )
+    p = p.withColumn(f"_i_{r.name}", impact).withColumn(f"_m_{r.name}", moved).withColumn(f"_b_{r.name}", blockers)
+    return p.drop("_moving", "_current", "may", "ids", "_hit")
+
+
+def no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _one(c: Column, text: str) -> Column:
+    return F.when(c, F.array(F.lit(text))).otherwise(no_texts())
+
+
+def _retired(d: Definition, p: DataFrame, ledger: DataFrame | None, domain: str, kind: T.DataType) -> DataFrame:
+    """Adds source_retired and survivor_retired, by id and, where the ledger has it, type of id."""
+    for side in ("source", "survivor"):
+        if ledger is None:
+            p = p.withColumn(f"{side}_retired", F.lit(False))
+            continue
+        on = [f"{side}_id"] + ([f"{side}_type"] if "source_id_type" in ledger.columns else [])
+        gone = ledger.where(F.col("retirement_domain") == domain).select(F.col("source_id").alias(f"{side}_id"), *[F.col("source_id_type").alias(f"{side}_type") for _ in on[1:]]).distinct()
+        p = p.withColumn(f"{side}_type", key_domain(F.col(f"{side}_id"), kind)).join(gone.withColumn("_gone", F.lit(True)), on, "left")
+        p = p.withColumn(f"{side}_retired", F.coalesce("_gone", F.lit(False))).drop("_gone", f"{side}_type")
+    return p
+
+
 def plan(d: Definition, pairs: DataFrame, records: DataFrame, children: Mapping[str, DataFrame], ledger: DataFrame | None, domain: str, key: bytes, memberships: DataFrame | None = None) -> DataFrame:
-    """One plan per pair: differences, impacts, blockers, reasons and fingerprint.
+    """One plan per pair: differences, impacts, blockers, reasons, fingerprint and what would move.
 
     ``records`` are the visible ones, ``children`` the tables of the relations by name.
     Blockers come in the order of the checks; choice_required ones can be answered, the
     others are fatal. A pair with a record that is not visible gets only that blocker.
+    Pairs and compared records are computed once; each relation is read once to count its
+    children by parent and once for its unique keys.
     """
     schema = records.schema
     report = validate(d, {d.table: schema, **{r.table: children[r.name].schema for r in d.relations}})
     config = [i.message for i in report.issues if i.severity == "blocker"]
-    both = joined(d, pairs.select(*PAIR).where("source_id <> survivor_id"), records)
-    p = both.withColumn("differences", differences(d, schema))
-    if d.validator is not None:
-        chosen = {f.name: F.when(F.element_at(F.filter("differences", _is_field(f.name)), 1)["resolution"].isin("both_missing", "take_source"), F.col(f"source__{f.name}")).otherwise(F.col(f"survivor__{f.name}")) for f in d.fields}
-        errors = p.select(*PAIR, *[c.alias(n) for n, c in chosen.items()]).select(*PAIR, d.validator().alias("errors"))
-    else:
-        errors = None
-    titles = F.col(f"survivor__{d.title}") if d.title else None
-    p = p.select(*PAIR, plan_title(titles, F.col(f"survivor__{d.key}")).alias("survivor_title"), d.authorizer.pair().alias("permitted"), "differences")
-    p = pairs.select(*PAIR).distinct().join(p, PAIR, "left")
-    if ledger is not None:
-        gone = ledger.where(F.col("retirement_domain") == domain).select("source_id", F.lit(True).alias("retired")).distinct()
-        p = p.join(gone, "source_id", "left").withColumn("retired", F.coalesce("retired", F.lit(False)))
-    else:
-        p = p.withColumn("retired", F.lit(False))
-    ids = None
-    relation_blockers = F.array().cast("array<string>")
-    impact_list = []
+    pairs = cut(pairs.select(*PAIR).distinct())
+    p = cut(pairs.join(_compared(d, pairs, records, key), PAIR, "left"))
+    p = _retired(d, p, ledger, domain, schema[d.key].dataType)
     for r in d.relations:
-        one = impacts(d, r, pairs, children[r.name]).select(*PAIR, F.struct("relation", "moving", "current", "resulting", "summary").alias(f"_i_{r.name}"), F.col("too_large").alias(f"_l_{r.name}"))
-        hit = collisions(r, pairs, children[r.name]).select(*PAIR, F.lit(True).alias(f"_c_{r.name}")).distinct()
-        p = p.join(one, PAIR, "left").join(hit, PAIR, "left")
-        impact_list.append(F.col(f"_i_{r.name}"))
-        relation_blockers = F.concat(relation_blockers, F.when(F.col(f"_l_{r.name}"), F.array(F.lit(f"merge_too_large:{r.name}"))).otherwise(F.array().cast("array<string>")), F.when(F.col(f"_c_{r.name}"), F.array(F.lit(f"collision:{r.name}"))).otherwise(F.array().cast("array<string>")))
-        moved = child_ids(r, pairs, children[r.name]).select(*PAIR, F.transform("child_ids", _prefixed(f"{r.name}/")).alias("child_ids"))
-        ids = moved if ids is None else ids.unionByName(moved).groupBy(*PAIR).agg(F.flatten(F.collect_list("child_ids")).alias("child_ids"))
-    if errors is not None:
-        p = p.join(errors, PAIR, "left")
-    else:
-        p = p.withColumn("errors", F.array().cast("array<string>"))
-    retired_by_pair = p.select(*PAIR, "retired")
-    prints = fingerprints(d, retired_by_pair, records, key, ids, F.col("retired"))
-    p = p.join(prints, PAIR, "left")
+        p = _related(d, r, p, pairs, children[r.name])
     if memberships is not None:
         from .suggest import direct_matches
 
-        p = p.join(direct_matches(pairs.select(*PAIR).distinct(), memberships).withColumnRenamed("rules", "reasons"), PAIR, "left")
+        p = p.join(direct_matches(pairs, memberships).withColumnRenamed("rules", "reasons"), PAIR, "left")
     else:
         p = p.withColumn("reasons", F.lit(None).cast("array<string>"))
-    one = lambda c, text: F.when(c, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
     unique = sorted({c for k in d.unique_keys for c in k})
     choices = F.transform(F.filter("differences", lambda x: x["resolution"] == "choice_required"), lambda x: F.concat(F.lit("choice_required:"), x["field"]))
     on_unique = F.transform(F.filter("differences", lambda x: (x["resolution"] == "choice_required") & x["field"].isin(unique)), lambda x: F.concat(F.lit("unique_field:"), x["field"]))
-    seen = F.col("differences").isNotNull()
+    seen, same = F.col("differences").isNotNull(), F.col("source_id") == F.col("survivor_id")
     blockers = F.concat(
         F.array(*[F.lit(f"invalid_configuration:{m}") for m in config]).cast("array<string>"),
-        one(F.col("source_id") == F.col("survivor_id"), "same_record"),
-        one(~seen & (F.col("source_id") != F.col("survivor_id")), "record_unavailable"),
-        one(seen & ~F.coalesce("permitted", F.lit(False)), "forbidden_operation"),
-        one(F.col("retired"), "source_retired"),
-        relation_blockers,
-        F.coalesce(choices, F.array().cast("array<string>")),
-        F.coalesce(on_unique, F.array().cast("array<string>")),
-        F.coalesce(F.transform("errors", lambda x: F.concat(F.lit("invalid:"), x)), F.array().cast("array<string>")),
+        _one(same, "same_record"),
+        _one(~seen & ~same, "record_unavailable"),
+        _one(seen & ~F.coalesce("permitted", F.lit(False)), "forbidden_operation"),
+        _one(F.col("source_retired"), "source_retired"),
+        _one(F.col("survivor_retired"), "survivor_retired"),
+        *[F.col(f"_b_{r.name}") for r in d.relations],
+        F.coalesce(choices, no_texts()),
+        F.coalesce(on_unique, no_texts()),
+        F.coalesce(F.transform("errors", lambda x: F.concat(F.lit("invalid:"), x)), no_texts()),
     )
-    impact_kind = "array<struct<relation:string,moving:bigint,current:bigint,resulting:bigint,summary:string>>"
-    shown = F.array(*impact_list) if impact_list else F.array().cast(impact_kind)
-    return p.select(*PAIR, "survivor_title", "differences", shown.alias("impacts"), F.array_distinct(blockers).alias("blockers"), "reasons", "fingerprint")
+    impacts_of = F.array(*[F.col(f"_i_{r.name}") for r in d.relations]) if d.relations else F.array().cast("array<struct<relation:string,moving:bigint,current:bigint,resulting:bigint,summary:string>>")
+    moved = F.array(*[F.col(f"_m_{r.name}") for r in d.relations]) if d.relations else F.array().cast("array<struct<relation:string,count:bigint,child_ids:array<string>>>")
+    ids = F.concat(no_texts(), *[F.transform(F.col(f"_m_{r.name}.child_ids"), _prefixed(f"{r.name}/")) for r in d.relations])
+    print_ = F.when(F.col("_source_e").isNotNull(), _pair_print(d, key, F.col("source_retired"), _sorted_ids(ids)))
+    return p.select(*PAIR, "survivor_title", "differences", impacts_of.alias("impacts"), F.array_distinct(blockers).alias("blockers"), "reasons", print_.alias("fingerprint"), moved.alias("moved"))
 
 
 def fatal(blockers: Column) -> Column:

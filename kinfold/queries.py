@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import digest, normalize, values
 from .operators import apply, compare, dismiss, keys, previews, resolve, review, suggest
+from .operators.desk import Desk
+from .operators.lifecycle import Scans
 from .plans.context import Ability, AbilityMap, Context
 from .plans.definition import Definition, MergeField, Relation, Retirement, scoped, visible
 from .plans.rules import ExactRule
-from .sources.scan import by_keys, host, keyset_chunk
+from .sources.scan import by_key, by_keys, host, keyset_chunk
+from .sources.store import Store
+from .sources.work import cut, numbered, work_root
 
 KEY = b"kinfold registered queries"
 AUDIT_KEY = b"0123456789abcdef"
@@ -115,6 +120,11 @@ def _members(spark, d) -> DataFrame:
     return keys.build_keys(PARTS, _part(spark, d), KEY)
 
 
+def _published(spark, d) -> DataFrame:
+    """The memberships as a scan leaves them: computed once, read often."""
+    return cut(_members(spark, d))
+
+
 def _part_ledger(spark, d) -> DataFrame:
     k = F.col("p_partkey")
     return _part(spark, d).where(k % 7 == 0).select(F.lit(DOMAIN).alias("retirement_domain"), k.cast("string").alias("source_id"), F.lit("int").alias("source_id_type"), (k + 3).cast("string").alias("survivor_id"), F.timestamp_seconds(k).alias("committed_at"), F.concat(F.lit("op-"), k.cast("string")).alias("operation_id"))
@@ -133,7 +143,8 @@ def _orders(spark, d) -> DataFrame:
 def _candidates(spark, d) -> DataFrame:
     """The two records of each bucket of exactly two, smaller key first."""
     o = _orders(spark, d)
-    return o.groupBy("o_custkey", "o_orderdate").agg(F.count("*").alias("n"), F.min("o_orderkey").cast("string").alias("a"), F.max("o_orderkey").cast("string").alias("b")).where("n = 2").select("a", "b")
+    two = o.groupBy("o_custkey", "o_orderdate").agg(F.count("*").alias("n"), F.min("o_orderkey").cast("string").alias("a"), F.max("o_orderkey").cast("string").alias("b"))
+    return cut(two.where("n = 2").select("a", "b"))
 
 
 def _pairs(spark, d) -> DataFrame:
@@ -197,6 +208,29 @@ def record_signatures(spark, d):
     return s.select("record_id", F.array_join(F.transform(F.map_entries("signatures"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("signatures"))
 
 
+@_query(f"select p_partkey, nfc_normalize(trim(p_name, {_BLANK}) || 'e' || chr(769) || p_partkey) as value from part")
+def keys_nfc(spark, d):
+    p = _part(spark, d).select("p_partkey", F.concat(F.trim("p_name"), F.lit("e\u0301"), F.col("p_partkey").cast("string"), F.lit(" \t")).alias("raw"))
+    return p.select("p_partkey", normalize.TrimmedText(nfc=True).apply(F.col("raw"), p.schema["raw"].dataType)["value"].alias("value"))
+
+
+@_query("select p_partkey, to_json([p_name, p_brand, p_type])::varchar as parts from part")
+def list_encode(spark, d):
+    return _part(spark, d).select("p_partkey", values.list_json([F.col("p_name"), F.col("p_brand"), F.col("p_type")]).alias("parts"))
+
+
+def _sql_scope(tenant: str) -> str:
+    return _sql_hmac(f"to_json(['v1', 'parts', 'default', 'default', {tenant}])::varchar")
+
+
+@_query(f"""select n_name, {_sql_scope("n_name")} as scope, sha256(to_json(['retirement-domain:v2', 'default', n_name, 'default'])::varchar) retirement, {_sql_hmac("to_json(['v1', 'retirement-domain:v1', 'default', n_name, 'default'])::varchar").replace("'v1', 'retirement-domain:v1'", "'retirement-domain:v1'")} legacy from nation""")
+def scope_digests(spark, d):
+    """Digests of scopes and domains are made on the driver; nations stand for tenants and tables."""
+    names = [r["n_name"] for r in host(spark, d, "nation").select("n_name").collect()]  # the nations, 25
+    rows = [(n, digest.scope_hash(KEY, "parts", "default", "default", n), digest.retirement_domain("default", n, "default"), digest.legacy_retirement_domain(KEY, "default", n, "default")) for n in names]
+    return spark.createDataFrame(rows, "n_name string, scope string, retirement string, legacy string")
+
+
 # -- buckets ------------------------------------------------------------------------------
 
 
@@ -210,7 +244,7 @@ _TOPK = """top as (select m.rule_id, m.digest, record_id, n, row_number() over (
 
 @_query(f"with {_members_sql()}, {_BUCKETS}, {_TOPK} select rule_id, digest, record_id, rn::int rn, n, greatest(0, n - 3) hidden from top where rn <= 3")
 def bucket_members_topk(spark, d):
-    m = _members(spark, d)
+    m = _published(spark, d)
     return suggest.first_members(m, suggest.buckets(m), 3).select("rule_id", "digest", "record_id", "rn", "n", "hidden")
 
 
@@ -244,14 +278,14 @@ def _dismissals(m: DataFrame, every: int) -> DataFrame:
 @_query(f"""with {_members_sql()}, {_BUCKETS}, {_TWO}, gone as (select distinct low, high from two where split_part(low, ':', 2)::bigint % 2 = 0)
 select b.rule_id, b.digest, n from buckets b left join two t using (rule_id, digest) where not exists (select 1 from gone g where g.low = t.low and g.high = t.high)""")
 def bucket_suppressed(spark, d):
-    m = _members(spark, d)
+    m = _published(spark, d)
     hidden = suggest.suppressed(m, keys.signatures(m), _dismissals(m, 2), KEY, "scope-1", PARTS.revision)
     return suggest.without(suggest.buckets(m), hidden).select("rule_id", "digest", "n")
 
 
 @_query(f"""with {_members_sql()}, {_TWO} select distinct low, high from two where split_part(low, ':', 2)::bigint % 3 = 0""")
 def dismissed_pairs(spark, d):
-    m = _members(spark, d)
+    m = _published(spark, d)
     pairs = suggest.pair_buckets(m).select(F.col("low").alias("a"), F.col("high").alias("b"))
     return dismiss.dismissed(pairs, keys.signatures(m), _dismissals(m, 3), KEY, "scope-1", PARTS.revision)
 
@@ -259,7 +293,7 @@ def dismissed_pairs(spark, d):
 @_query(f"""with {_members_sql()}, {_TWO}, held as (select distinct low, high from two where split_part(low, ':', 2)::bigint % 2 = 0), fresh as (select distinct low, high from two where split_part(low, ':', 2)::bigint % 3 = 0)
 select coalesce(h.low, f.low) low, coalesce(h.high, f.high) high, f.low is null reopened from held h full join fresh f on h.low = f.low and h.high = f.high""")
 def dismissal_upsert(spark, d):
-    m = _members(spark, d)
+    m = _published(spark, d)
     held = _dismissals(m, 2).withColumn("reopened_at", F.lit(NOW).cast("timestamp"))
     out = dismiss.upsert(held, _dismissals(m, 3))
     return out.select(F.col("record_ids")[0].alias("low"), F.col("record_ids")[1].alias("high"), F.col("reopened_at").isNotNull().alias("reopened"))
@@ -273,7 +307,7 @@ from chosen join members a on a.record_id = source_id join members b on b.record
 def direct_match(spark, d):
     k = F.col("p_partkey")
     pairs = _part(spark, d).select(k.cast("string").alias("source_id"), (k + 40).cast("string").alias("survivor_id"))
-    return suggest.direct_matches(pairs, _members(spark, d)).withColumn("rules", _shown(F.col("rules")))
+    return suggest.direct_matches(pairs, _published(spark, d)).withColumn("rules", _shown(F.col("rules")))
 
 
 @_query(f"""with {_members_sql()}, joined as (select a.record_id a, b.record_id b, c.record_id c from members a join members b on a.rule_id = 'name' and b.rule_id = 'name' and a.digest = b.digest and a.record_id <> b.record_id
@@ -281,7 +315,7 @@ def direct_match(spark, d):
 select distinct j.a, j.c from joined j where not exists (select 1 from members x join members y on x.rule_id = y.rule_id and x.digest = y.digest where x.record_id = j.a and y.record_id = j.c)""")
 def overlap_no_closure(spark, d):
     """a-b by name and b-c by specification do not make a-c: the chains whose ends share no rule."""
-    m = _members(spark, d)
+    m = _published(spark, d)
     name, spec = (m.where(F.col("rule_id") == r).select("digest", "record_id") for r in ("name", "spec"))
     ab = name.select("digest", F.col("record_id").alias("a")).join(name.select("digest", F.col("record_id").alias("b")), "digest").where("a <> b").select("a", "b")
     bc = spec.select("digest", F.col("record_id").alias("b")).join(spec.select("digest", F.col("record_id").alias("c")), "digest").where("b <> c").select("b", "c")
@@ -315,7 +349,7 @@ flags as (select t.rule_id, t.digest, t.record_id, n, case when k.p_partkey is n
 
 
 def _review(spark, d) -> DataFrame:
-    m = _members(spark, d)
+    m = _published(spark, d)
     shown = suggest.first_members(m, suggest.buckets(m), 4)
     return review.members(PARTS, shown, _now_parts(spark, d), _part_ledger(spark, d), DOMAIN, KEY)
 
@@ -456,6 +490,22 @@ def relation_collision(spark, d):
     return compare.collisions(LINES, _pairs(spark, d), _lines(spark, d)).select("source_id", "survivor_id")
 
 
+@_query(f"""with {_ORDERS_SQL}, n as (select l_orderkey::varchar k, count(*) c from lineitem group by 1)
+select source_id, survivor_id from pairs join n a on a.k = source_id left join n b on b.k = survivor_id where a.c > 1 or b.c >= 1""")
+def single_child(spark, d):
+    """A unique key of the foreign key alone allows one child in all."""
+    return compare.collisions(replace(LINES, unique_keys=(("l_orderkey",),)), _pairs(spark, d), _lines(spark, d)).select("source_id", "survivor_id")
+
+
+@_query(f"with {_ORDERS_SQL} select source_id, survivor_id, source_id in (select l_orderkey::varchar from lineitem where l_partkey % 10 = 0) changed from pairs")
+def inventory_changed(spark, d):
+    """A child that is gone changes the fingerprint of its pair."""
+    o, pairs, lines = _orders(spark, d), _pairs(spark, d), _lines(spark, d)
+    kids = [compare.child_ids(LINES, pairs, x) for x in (lines, lines.where("l_partkey % 10 <> 0"))]
+    a, b = (compare.fingerprints(ORDERS, pairs, o, KEY, k).withColumnRenamed("fingerprint", n) for k, n in zip(kids, "ab"))
+    return a.join(b, compare.PAIR).select(*compare.PAIR, (F.col("a") != F.col("b")).alias("changed"))
+
+
 @_query(f"with {_ORDERS_SQL} select source_id, survivor_id, string_agg('int:' || l_linenumber, ',' order by l_linenumber) child_ids from pairs join lineitem on l_orderkey::varchar = source_id group by all")
 def child_inventory(spark, d):
     return compare.child_ids(LINES, _pairs(spark, d), _lines(spark, d)).withColumn("child_ids", _shown(F.col("child_ids")))
@@ -475,6 +525,7 @@ _BLOCKERS = f"""with {_ORDERS_SQL}, {_SIDES}, {_DIFF}, n as (select l_orderkey::
 hit as (select distinct source_id, survivor_id from pairs join lineitem a on a.l_orderkey::varchar = source_id join lineitem b on b.l_orderkey::varchar = survivor_id and b.l_linenumber = a.l_linenumber
   union select source_id, survivor_id from pairs join lineitem a on a.l_orderkey::varchar = source_id group by source_id, survivor_id, l_linenumber having count(*) > 1),
 b as (select source_id, survivor_id, 'source_retired' b from pairs where source_id::bigint % 6 = 0
+ union all select source_id, survivor_id, 'survivor_retired' from pairs where survivor_id::bigint % 10 = 0
  union all select source_id, survivor_id, 'merge_too_large:lines' from pairs join n on k = source_id where c > 5
  union all select source_id, survivor_id, 'collision:lines' from hit
  union all select source_id, survivor_id, 'choice_required:' || field from diff where resolution = 'choice_required'
@@ -482,8 +533,11 @@ b as (select source_id, survivor_id, 'source_retired' b from pairs where source_
 
 
 def _order_ledger(spark, d) -> DataFrame:
-    p = _pairs(spark, d).where(F.col("source_id").cast("long") % 6 == 0)
-    return p.select(F.lit(DOMAIN).alias("retirement_domain"), "source_id", F.lit("int").alias("source_id_type"), F.lit("0").alias("survivor_id"))
+    """Some sources and survivors are retired already; string ids of equal text are other records."""
+    ends = _pairs(spark, d).select(F.explode(F.array(F.struct(F.col("source_id").alias("id"), F.lit(6).alias("by")), F.struct(F.col("survivor_id").alias("id"), F.lit(10).alias("by")))).alias("x")).select("x.*")
+    kind = F.when(F.col("id").cast("long") % F.col("by") == 0, "int").when(F.col("id").cast("long") % 4 == 1, "string")
+    ends = ends.withColumn("kind", kind).where("kind is not null")
+    return ends.select(F.lit(DOMAIN).alias("retirement_domain"), F.col("id").alias("source_id"), F.col("kind").alias("source_id_type"), F.lit("0").alias("survivor_id"))
 
 
 def _plan(spark, d) -> DataFrame:
@@ -555,20 +609,90 @@ def merge_postconditions(spark, d):
     return bad.groupBy("violation").agg(F.count("*").alias("n"))
 
 
-@_query(f"with {_ORDERS_SQL} select source_id, 'op-' || source_id operation_id from pairs where source_id::bigint % 2 = 0")
+@_query(f"with {_ORDERS_SQL} select source_id, 'op-' || source_id operation_id, case when source_id::bigint % 3 = 0 then 'choices' end problem from pairs where source_id::bigint % 2 = 0")
 def merge_replay(spark, d):
+    """Operations that are in the ledger; with other choices they are another merge."""
     batch = _batch(spark, d)
     book = apply.ledger_rows(ORDERS, _orders(spark, d), batch, _context(ORDERS), DOMAIN, NOW, AUDIT_KEY).where(F.col("source_id").cast("long") % 2 == 0)
-    return apply.replayed(batch, book, _context(ORDERS)).select("source_id", "operation_id")
+    other = F.create_map(F.lit("status"), F.lit("survivor"), F.lit("note"), F.lit("survivor"))
+    again = batch.withColumn("choices", F.when(F.col("source_id").cast("long") % 3 == 0, other).otherwise(F.col("choices")))
+    return apply.replays(again, book, _context(ORDERS), AUDIT_KEY).select("source_id", "operation_id", "problem")
+
+
+MERGEABLE = replace(ORDERS, id="orders-open", unique_keys=(), relations=(replace(LINES, unique_keys=(), cap=None),))
+_DECIDED = {"status": "source", "priority": "survivor", "note": "survivor"}
+
+
+def _desk(spark, d) -> Desk:
+    """The orders and lines in a store of their own."""
+    store = Store(spark, f"{work_root(spark)}/desk-{dt.datetime.now().timestamp():.6f}")
+    orders, lines = _orders(spark, d), _lines(spark, d)
+    desk = Desk(store, MERGEABLE, {"orders": orders.schema, "lineitem": lines.schema}, KEY, AUDIT_KEY, lambda: NOW)
+    desk.load(orders=orders, lineitem=lines)
+    return desk
+
+
+def _decided(desk: Desk, spark, d) -> DataFrame:
+    plans = desk.plan(_context(MERGEABLE), _pairs(spark, d)).select(*compare.PAIR, "fingerprint")
+    choices = F.create_map(*[F.lit(x) for kv in _DECIDED.items() for x in kv])
+    return cut(plans.withColumn("choices", choices).withColumn("operation_id", F.concat(F.lit("op-"), "source_id")))
+
+
+@_query(f"""with {_ORDERS_SQL}, {_SIDES}, n as (select coalesce(survivor_id::bigint, l_orderkey) k, count(*) n from lineitem left join pairs on source_id = l_orderkey::varchar group by 1)
+select o_orderkey, coalesce(s.source_status, o.status) status, o.priority, o.note, o_orderkey::varchar in (select source_id from pairs) retired, coalesce(n, 0) n_lines, (select count(*) from pairs) n_ledger
+from ord o left join sides s on s.survivor_id = o.o_orderkey::varchar left join n on k = o_orderkey""")
+def merge_commit(spark, d):
+    """All decided merges, committed; what the store holds afterwards. The second commit of the batch changes nothing."""
+    desk = _desk(spark, d)
+    plans = _decided(desk, spark, d)
+    for _ in range(2):
+        desk.merge(_context(MERGEABLE), plans)
+    state = desk.store.state()
+    lines = desk.table("lineitem", state).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"))
+    out = desk.table("orders", state).join(lines, "o_orderkey", "left").select("o_orderkey", "status", "priority", "note", F.col("deleted_at").isNotNull().alias("retired"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+    return out.crossJoin(F.broadcast(desk.ledger(state).agg(F.count("*").alias("n_ledger"))))  # one row
+
+
+@_query(f"""with {_ORDERS_SQL}, {_SIDES}, n as (select l_orderkey::varchar k, count(*) n from lineitem group by 1)
+select 'op-' || source_id operation_id, coalesce(n, 0) moved_total, to_json(source_status)::varchar as written_status, false replayed from sides left join n on k = source_id""")
+def merge_results(spark, d):
+    """What each operation wrote and moved, as the audit of the ledger has it."""
+    desk = _desk(spark, d)
+    out = desk.merge(_context(MERGEABLE), _decided(desk, spark, d))
+    return out.select("operation_id", "moved_total", F.col("written")["status"].alias("written_status"), "replayed")
+
+
+@_query(f"""with {_ORDERS_SQL}, {_SIDES}, one as (select * from sides order by source_id limit 1), f as (select *, unnest(['status', 'priority', 'note']) as field from one)
+select 'op-' || source_id operation_id, 'int:' || source_id source_id, 'int:' || survivor_id survivor_id, field, case field when 'status' then 'source' else 'survivor' end choice, case when field = 'status' then source_status end as after, field <> 'note' audited, 'customer-day' reasons, (select count(*) from lineitem where l_orderkey::varchar = f.source_id) moved from f""")
+def audit_read(spark, d):
+    """The audit of the first operation, a row a field."""
+    desk = _desk(spark, d)
+    context = _context(MERGEABLE)
+    plans = _decided(desk, spark, d)
+    desk.merge(context, plans)
+    first = plans.orderBy("source_id").first()
+    if first is None:
+        return spark.createDataFrame([], "operation_id string, source_id string, survivor_id string, field string, choice string, after string, audited boolean, reasons string, moved long")
+    a = desk.audit_read(context, first["operation_id"])
+    rows = [(a["operation_id"], a["source_id"], a["survivor_id"], f["field"], f["choice"], (f.get("after") or {}).get("value"), f["audited"], ",".join(a["reasons"]), sum(r["count"] for r in a["relations"])) for f in a["fields"]]
+    return spark.createDataFrame(rows, "operation_id string, source_id string, survivor_id string, field string, choice string, after string, audited boolean, reasons string, moved long")
+
+
+@_query(f"""with {_ORDERS_SQL}, {_SIDES}, kids as (select distinct l_orderkey::varchar k from lineitem where l_partkey % 50 = 0)
+select source_id, survivor_id, source_status = 'P' or survivor_status = 'P' or source_id::bigint % 5 = 0 records, source_id in (select k from kids) children from sides""")
+def record_authorization(spark, d):
+    """Both records must be visible to the actor, the pair permitted and every child that would move."""
+    limits = AbilityMap(frozenset(Ability), F.col("status") != "P", F.col("source__o_orderkey") % 5 != 0, F.col("l_partkey") % 50 != 0)
+    o = _orders(spark, d)
+    p = compare.plan(replace(MERGEABLE, authorizer=limits), _pairs(spark, d), o, {"lines": _lines(spark, d)}, None, DOMAIN, KEY)
+    return p.select("source_id", "survivor_id", F.array_contains("blockers", "forbidden_operation").alias("records"), F.array_contains("blockers", "forbidden_operation:lines").alias("children"))
 
 
 @_query(f"with {_ORDERS_SQL}, ends as (select source_id::bigint id from pairs union select survivor_id::bigint from pairs) select 'int:' || id encoded, row_number() over (order by id)::int place from ends")
 def lock_order(spark, d):
-    from pyspark.sql import Window
-
-    ends = _pairs(spark, d).select(F.explode(F.array("source_id", "survivor_id")).alias("id")).select(F.col("id").cast("long"))
+    ends = _pairs(spark, d).select(F.explode(F.array("source_id", "survivor_id")).alias("id")).select(F.col("id").cast("long")).distinct()
     rid = values.record_id(F.col("id"), ends.schema["id"].dataType)
-    return ends.select(values.encode_id(rid).alias("encoded"), values.id_order(rid).alias("o")).distinct().withColumn("place", F.row_number().over(Window.orderBy("o"))).drop("o")
+    return numbered(ends.select(values.encode_id(rid).alias("encoded"), values.id_order(rid).alias("o")), [F.col("o")]).drop("o")
 
 
 @_query(f"with {_ORDERS_SQL} select 'op-' || source_id operation_id, source_id::bigint % 2 = 0 expired from pairs")
@@ -586,34 +710,42 @@ def preview_expiry(spark, d):
 
 @_query(f"with {_LEDGER_SQL} select source_id, survivor_id, row_number() over (order by source_id::bigint)::int place from ledger")
 def ledger_mappings(spark, d):
-    from pyspark.sql import Window
-
-    return resolve.mappings(_part_ledger(spark, d), DOMAIN).select("source_id", "survivor_id", F.row_number().over(Window.orderBy("committed_at")).alias("place"))
+    rows = resolve.mappings(_part_ledger(spark, d), DOMAIN)
+    return numbered(rows, [F.col("committed_at"), F.col("operation_id")]).select("source_id", "survivor_id", "place")
 
 
 def _chain_ledger(spark, d) -> DataFrame:
-    """Chains of up to eleven hops inside blocks of sixteen, and a loop in every tenth block."""
+    """Chains of up to eleven hops inside blocks of sixteen, a loop in every tenth block, and one hop of string ids."""
     k = F.col("p_partkey")
-    step = _part(spark, d).where((k % 16 > 0) & (k % 16 <= 12))
+    p = _part(spark, d)
     to = F.when((F.floor(k / 16) % 10 == 0) & (k % 16 == 1), k + 2).otherwise(k - 1)
-    return step.select(F.lit(DOMAIN).alias("retirement_domain"), k.cast("string").alias("source_id"), to.cast("string").alias("survivor_id"))
+    edge = lambda kind, to: [F.lit(DOMAIN).alias("retirement_domain"), k.cast("string").alias("source_id"), F.lit(kind).alias("source_id_type"), to.alias("survivor_id"), F.lit(kind).alias("survivor_id_type")]
+    step = p.where((k % 16 > 0) & (k % 16 <= 12)).select(*edge("int", to.cast("string")))
+    return step.unionByName(p.where(k % 8 == 5).select(*edge("string", F.concat(F.lit("x"), k.cast("string")))))
 
 
 _CHAIN = """with recursive e as (select p_partkey s, case when (p_partkey // 16) % 10 = 0 and p_partkey % 16 = 1 then p_partkey + 2 else p_partkey - 1 end t from part where p_partkey % 16 > 0 and p_partkey % 16 <= 12),
 c as (select p_partkey r, p_partkey cur, 0 hops from part union all select r, t, hops + 1 from c join e on s = cur where hops <= 10),
 m as (select r, arg_max(cur, hops) cur, max(hops) hops from c group by r)
-select r::varchar record_id, case when hops <= 10 then cur::varchar end survivor_id, least(hops, 10)::int hops, case when hops > 10 then 'unresolvable' else 'resolved' end status from m"""
+select r::varchar record_id, 'int' record_id_type, case when hops <= 10 then cur::varchar end survivor_id, case when hops <= 10 then 'int' end survivor_id_type, least(hops, 10)::int hops, case when hops > 10 then 'unresolvable' else 'resolved' end status from m
+union all select p_partkey::varchar, 'string', case when p_partkey % 8 = 5 then 'x' || p_partkey else p_partkey::varchar end, 'string', (p_partkey % 8 = 5)::int, 'resolved' from part where p_partkey % 4 = 1"""
 
 
 @_query(_CHAIN)
 def survivor_chain(spark, d):
-    return resolve.survivors(_ids(_part(spark, d), PARTS), _chain_ledger(spark, d), DOMAIN)
+    """Number ids and string ids of the same text have chains of their own."""
+    own = keys.with_record_id(PARTS, _part(spark, d)).select("record_id", "record_id_type")
+    texts = own.where(F.col("record_id").cast("long") % 4 == 1).withColumn("record_id_type", F.lit("string"))
+    return resolve.survivors(own.unionByName(texts), _chain_ledger(spark, d), DOMAIN)
 
 
 @_query(f"with {_LEDGER_SQL} select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey::varchar in (select p_partkey::varchar from part where p_size <= 40) and l_partkey::varchar not in (select source_id from ledger)")
 def writer_guard(spark, d):
-    live = _ids(_part(spark, d).where("p_size <= 40"), PARTS)
-    return resolve.guard_new_children(_lines(spark, d), "l_partkey", live, _part_ledger(spark, d), DOMAIN)
+    """Retired string ids of the same text do not close a parent."""
+    live = keys.with_record_id(PARTS, _part(spark, d).where("p_size <= 40")).select("record_id", "record_id_type")
+    book = _part_ledger(spark, d).select("retirement_domain", "source_id", "source_id_type")
+    texts = _part(spark, d).select(F.lit(DOMAIN).alias("retirement_domain"), F.col("p_partkey").cast("string").alias("source_id"), F.lit("string").alias("source_id_type"))
+    return resolve.guard_new_children(_lines(spark, d), "l_partkey", live, book.unionByName(texts), DOMAIN)
 
 
 @_query(f"with {_LEDGER_SQL} select source_id, case when source_id::bigint % 2 = 0 then 'new-a' else 'demo' end retirement_domain, 2 retirement_domain_version from ledger")
@@ -639,13 +771,12 @@ def retired_flags(spark, d):
 
 @_query("""with t as (select p_partkey, case p_partkey % 4 when 0 then -p_partkey when 1 then p_partkey * 1000000007 else p_partkey end v from part) select p_partkey, row_number() over (order by v, p_partkey)::int place, 'int:' || v encoded from t""")
 def record_id_order(spark, d):
-    from pyspark.sql import Window
-
     k = F.col("p_partkey")
     p = _part(spark, d).select("p_partkey", F.when(k % 4 == 0, -k).when(k % 4 == 1, k * 1000000007).otherwise(k).alias("v"))
     rid = values.record_id(F.col("v"), p.schema["v"].dataType)
-    back = values.decode_id(values.encode_id(rid))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy(values.id_order(back), "p_partkey")).alias("place"), values.encode_id(back).alias("encoded"))
+    rows = p.select("p_partkey", values.encode_id(rid).alias("encoded"))
+    order = values.id_order(values.decode_id(F.col("encoded")))
+    return numbered(rows.withColumn("o", order), [F.col("o"), F.col("p_partkey")]).drop("o")
 
 
 @_query("""select c_custkey, case c_custkey % 3 when 0 then 'uuid' when 1 then 'ulid' else 'string' end key_domain from customer""")
@@ -662,6 +793,24 @@ def keyset_chunk_scan(spark, d):
     return keyset_chunk(ORDERS, _orders(spark, d), _context(ORDERS), 100, 1000).select("o_orderkey")
 
 
+@_query("select max(o_orderkey) o_orderkey, max_by(o_orderstatus, o_orderkey) as status from orders")
+def row_lookup(spark, d):
+    """One record by its key."""
+    o = _orders(spark, d)
+    r = by_key(ORDERS, o, _context(ORDERS), o.agg(F.max("o_orderkey")).first()[0])
+    return spark.createDataFrame([(r["o_orderkey"], r["status"])], "o_orderkey long, status string")
+
+
+@_query(f"with {_members_sql()} select * from members")
+def scan_publish(spark, d):
+    """A scan from its reservation to the generation that readers see; a cancelled one leaves nothing."""
+    scans = Scans(Store(spark, f"{work_root(spark)}/scans-{dt.datetime.now().timestamp():.6f}"), KEY)
+    context, part = _context(PARTS), _part(spark, d)
+    scans.cancel(scans.start(PARTS, context))
+    scans.run(PARTS, context, scans.start(PARTS, context), part)
+    return scans.memberships(context).select("rule_id", "digest", "record_id", "record_id_type")
+
+
 @_query("select doc_id from documents where source = 'src3' and lang = 'en'")
 def scan_visible(spark, d):
     return visible(DOCS, host(spark, d, "documents"), _context(DOCS, "src3")).select("doc_id")
@@ -685,34 +834,35 @@ def value_display(spark, d):
     return o.select("o_orderkey", show("priority").alias("priority"), show("o_orderdate").alias("day"), show("even").alias("even"), show("o_custkey").alias("customer"))
 
 
-@_query("""select o_orderkey, o_orderkey % 5 in (0, 3) same from orders""")
+@_query("""with t as (select o_orderkey, nullif(o_orderkey % 7, 3) a, nullif(o_custkey % 7, 5) b, o_orderstatus s, o_orderdate d, o_totalprice::decimal(12, 2) p from orders)
+select o_orderkey, a is not distinct from b as numbers, a is null and s is null as mixed, nullif(s, 'F') is not distinct from case when o_orderkey % 2 = 0 then s end as texts, date_trunc('month', d) = d as days, (a % 2 = 1) is not distinct from (b % 2 = 1) as flags, p::varchar = round(p, 0)::decimal(12, 2)::varchar as amounts from t""")
 def typed_equality(spark, d):
-    """null/null and equal values are equal; null/0, '0'/0 and '0.10'/'0.1' are not."""
-    o, k = host(spark, d, "orders"), F.col("o_orderkey")
-    struct = "struct<type:string,value:string>"
-    none = F.lit(None).cast(struct)
-    text = lambda x: values.struct("string", F.lit(x))
-    number = values.struct("integer", F.lit("0"))
-    a = F.when(k % 5 == 0, none).when(k % 5 == 1, none).when(k % 5 == 2, text("0")).when(k % 5 == 3, text("1.50")).otherwise(text("0.10"))
-    b = F.when(k % 5 == 0, none).when(k % 5 == 1, number).when(k % 5 == 2, number).when(k % 5 == 3, text("1.50")).otherwise(text("0.1"))
-    return o.select("o_orderkey", values.typed_equal(a, b).alias("same"))
+    """Equal values of one kind are equal, null is equal to null alone, and a number is never the text of it."""
+    k = F.col("o_orderkey")
+    o = host(spark, d, "orders").select("o_orderkey", F.nullif(k % 7, F.lit(3)).alias("a"), F.nullif(F.col("o_custkey") % 7, F.lit(5)).alias("b"), F.col("o_orderstatus").alias("s"), F.col("o_orderdate").cast("timestamp").alias("d"), F.col("o_totalprice").cast("decimal(12,2)").alias("p"))
+    o = o.withColumn("a_text", F.col("a").cast("string")).withColumn("s1", F.nullif("s", F.lit("F"))).withColumn("s2", F.when(k % 2 == 0, F.col("s"))).withColumn("month", F.date_trunc("month", "d"))
+    o = o.withColumn("odd_a", F.col("a") % 2 == 1).withColumn("odd_b", F.col("b") % 2 == 1).withColumn("whole", F.round("p", 0).cast("decimal(12,2)"))
+    same = lambda x, y: values.typed_equal(*(values.typed(F.col(c), o.schema[c].dataType) for c in (x, y)))
+    return o.select("o_orderkey", same("a", "b").alias("numbers"), (same("a", "a_text") & F.col("s").isNull() | same("a", "a_text") & F.col("a").isNotNull()).alias("mixed"), same("s1", "s2").alias("texts"), same("d", "month").alias("days"), same("odd_a", "odd_b").alias("flags"), same("p", "whole").alias("amounts"))
 
 
-_EVENTS_SQL = f"""select 'user' rule_id, {_sql_rule(EVENTS, EVENTS.rules[0], "case when user_id is not null then to_json([['integer', user_id::varchar]])::varchar end")} digest, event_id::varchar record_id from events
-union all select 'user-type', {_sql_rule(EVENTS, EVENTS.rules[1], f"case when user_id is not null and trim(event_type, {_BLANK}) <> '' then to_json([['integer', user_id::varchar], ['string', event_type]])::varchar end")}, event_id::varchar from events"""
+_EVENTS_SQL = f"""with ev as (select event_id, event_type, case when event_id % 20 = 0 then null when event_id % 10 = 0 then user_id + 1 else user_id end user_id from events),
+m as (select 'user' rule_id, {_sql_rule(EVENTS, EVENTS.rules[0], "case when user_id is not null then to_json([['integer', user_id::varchar]])::varchar end")} digest, event_id::varchar record_id from ev
+union all select 'user-type', {_sql_rule(EVENTS, EVENTS.rules[1], f"case when user_id is not null and trim(event_type, {_BLANK}) <> '' then to_json([['integer', user_id::varchar], ['string', event_type]])::varchar end")}, event_id::varchar from ev)
+select * from m where digest is not null"""
 
 
 @_query(_EVENTS_SQL)
 def stream_scan(spark, d):
-    """The same memberships by a resumable stream over the table's files."""
-    import tempfile
-
+    """Memberships by a resumable stream, after files with changes arrived: a key that disappeared is gone."""
     from .streaming import incremental
 
-    base = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="kinfold-")
-    work = f"{base}/stream-{dt.datetime.now().timestamp():.6f}"
-    e = host(spark, d, "events")
-    incremental.start(spark, EVENTS, _context(EVENTS), f"{d}/events.parque[t]", e.schema, f"{work}/out", f"{work}/cursor", KEY).awaitTermination()
+    work = f"{work_root(spark)}/stream-{dt.datetime.now().timestamp():.6f}"
+    e, k = host(spark, d, "events"), F.col("event_id")
+    late = e.where(k % 10 == 0).withColumn("user_id", F.when(k % 20 != 0, F.col("user_id") + 1).cast(e.schema["user_id"].dataType))
+    for part in (e, late):
+        part.write.mode("append").parquet(f"{work}/src")
+        incremental.start(spark, EVENTS, _context(EVENTS), f"{work}/src", e.schema, f"{work}/out", f"{work}/cursor", KEY).awaitTermination()
     return incremental.memberships(spark, f"{work}/out").select("rule_id", "digest", "record_id")
 
 
@@ -725,16 +875,28 @@ CONTACTS = Definition("fixture-contacts", "contacts", "id", FIXTURE_RULES, title
 
 
 def fixture_contacts(spark: SparkSession, n: int = 100_000) -> DataFrame:
-    """The baseline's workload: of every 500 records the first two share a reference."""
+    """The records of the baseline's workload. Of every 500 the first two share a reference."""
     i = F.col("id")
     text = i.cast("string")
     reference = F.when(i % 500 < 2, F.concat(F.lit("BENCH-"), F.floor(i / 500).cast("string"))).otherwise(F.concat(F.lit("UNIQUE-"), text))
     return spark.range(n).select("id", F.lit("tenant-a").alias("tenant_id"), reference.alias("reference"), F.concat(F.lit("person"), text, F.lit("@example.com")).alias("email"), F.concat(F.lit("Person "), text).alias("display_name"))
 
 
-@_query("""select 'reference' rule_id, 300000::bigint memberships, 200::bigint buckets, 2::bigint largest""")
+_CONTACTS_SQL = """contacts as (select range id, case when range % 500 < 2 then 'BENCH-' || range // 500 else 'UNIQUE-' || range end reference, 'person' || range || '@example.com' email, 'Person ' || range display_name from range(100000))"""
+
+
+def _lower_pair(*columns: str) -> str:
+    return "to_json([" + ", ".join(f"['string', lower(trim({c}, {_BLANK}))]" for c in columns) + "])::varchar"
+
+
+_CONTACT_KEYS = " union all ".join(f"select '{r.id}' rule_id, {_sql_rule(CONTACTS, r, _lower_pair(*r.fields))} digest from contacts" for r in FIXTURE_RULES)
+
+
+@_query(f"""with {_CONTACTS_SQL}, keys as ({_CONTACT_KEYS}), sizes as (select rule_id, digest, count(*) n from keys where digest is not null group by all)
+select max(case when n >= 2 then rule_id end) rule_id, sum(n)::bigint memberships, count_if(n >= 2) buckets, max(n) largest, min(digest) first_digest, max(digest) last_digest from sizes""")
 def fixture_100k_scan(spark, d):
+    """The baseline's workload, which has no table: counts of its keys, and the least and largest of them."""
     m = keys.build_keys(CONTACTS, scoped(CONTACTS, fixture_contacts(spark), _context(CONTACTS, "tenant-a")), KEY)
     # One pass: bucket sizes, then totals of them.
     sizes = m.groupBy("rule_id", "digest").agg(F.count("*").alias("n"))
-    return sizes.agg(F.max(F.when(F.col("n") >= 2, F.col("rule_id"))).alias("rule_id"), F.sum("n").alias("memberships"), F.count_if(F.col("n") >= 2).alias("buckets"), F.max("n").alias("largest"))
+    return sizes.agg(F.max(F.when(F.col("n") >= 2, F.col("rule_id"))).alias("rule_id"), F.sum("n").alias("memberships"), F.count_if(F.col("n") >= 2).alias("buckets"), F.max("n").alias("largest"), F.min("digest").alias("first_digest"), F.max("digest").alias("last_digest"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinfold.errors import DomainConflict, ForbiddenOperation, InvalidConfiguration, MergeTooLarge, MissingContext, RecordUnavailable, RetryExhausted, StalePreview
 from kinfold.functions import normalize
 from kinfold.operators import apply, compare, dismiss, keys, previews, resolve, review, suggest
+from kinfold.operators.desk import Desk
 from kinfold.operators.lifecycle import Scans, ulid
 from kinfold.plans.context import Ability, AbilityMap, DenyAll, NullContextResolver, ServiceContextResolver, require
 from kinfold.plans.context import resolve as context_of
@@ -341,3 +342,170 @@ def test_incremental(spark, context, tmp_path):
     incremental.start(spark, CONTACTS, context, src, df.schema, out, mark, KEY).awaitTermination()
     want = keys.build_keys(CONTACTS, df.withColumn("reference", F.when(F.col("id") == 1, "c").otherwise("b")), KEY)
     assert sorted(map(str, incremental.memberships(spark, out).collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_dead_writer_locks_nobody(spark, tmp_path):
+    """A writer that stops before the last step leaves a draft; the next commit takes the version."""
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.commit(lambda s: s["tables"].update(a="x"))
+    link = store._link
+
+    def die(draft, final):
+        raise KeyboardInterrupt
+
+    store._link = die
+    with pytest.raises(KeyboardInterrupt):
+        store.commit(lambda s: s["tables"].update(b="y"))
+    store._link = link
+    assert store.commit(lambda s: s["tables"].update(c="z"))["tables"] == {"a": "x", "c": "z"} and store.version() == 2
+
+
+def test_writers_at_once_all_commit(spark, tmp_path):
+    import threading
+
+    store, failed = Store(spark, f"file://{tmp_path}/s"), []
+
+    def work(k):
+        try:
+            store.commit(lambda s: s["tables"].update({f"t{k}": "x"}), attempts=12)
+        except RetryExhausted as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed and store.version() == 6 and len(store.state()["tables"]) == 6
+
+
+def test_long_scans_keep_their_heart_beating(spark, context, tmp_path):
+    """A scan longer than the timeout is not taken for a dead one."""
+    import time
+
+    scans = Scans(Store(spark, f"file://{tmp_path}/s"), KEY, heartbeat=0.2)
+    df = contacts(spark, {"reference": "a"}, {"reference": "b"}).coalesce(1)
+    slow = F.udf(lambda x: time.sleep(1.5) or x, "string")
+    one = scans.start(CONTACTS, context)
+    assert scans.run(CONTACTS, context, one, df.withColumn("reference", slow("reference")))["indexed"] == 2
+    scan = scans.store.state()["scans"][one]
+    beat, begun = (dt.datetime.fromisoformat(scan[k]) for k in ("heartbeat_at", "started_at"))
+    assert beat - begun > dt.timedelta(seconds=1) and scan["state"] == "succeeded"
+
+
+def test_a_key_that_disappears_is_gone(spark, context, tmp_path):
+    df = contacts(spark, {"reference": "a", "email": "a@example.com"}, {"reference": "b"}, {"reference": "c"})
+    src, out, mark = (f"file://{tmp_path}/{x}" for x in ("src", "out", "mark"))
+    assert incremental.memberships(spark, out).count() == 0
+    late = df.where("id < 3").withColumn("email", F.lit(None).cast("string")).withColumn("deleted_at", F.when(F.col("id") == 2, F.lit(NOW)))
+    for part in (df, late):
+        part.write.mode("append").parquet(src)
+        incremental.start(spark, CONTACTS, context, src, df.schema, out, mark, KEY).awaitTermination()
+    got = sorted((r["record_id"], r["rule_id"]) for r in incremental.memberships(spark, out).collect())
+    assert got == [("1", "reference"), ("3", "reference")]
+
+
+def test_chains_and_guards_tell_types_apart(spark):
+    ledger = spark.createDataFrame([("dom", "5", "string", "9", "string"), ("dom", "6", "int", "7", "int")], "retirement_domain string, source_id string, source_id_type string, survivor_id string, survivor_id_type string")
+    ids = spark.createDataFrame([("5", "int"), ("5", "string"), ("6", "int")], "record_id string, record_id_type string")
+    seen = spark.createDataFrame([("5", "int"), ("9", "string")], "record_id string, record_id_type string")
+    got = {(r["record_id"], r["record_id_type"]): (r["survivor_id"], r["survivor_id_type"], r["status"]) for r in resolve.survivors(ids, ledger, "dom", seen).collect()}
+    assert got == {("5", "int"): ("5", "int", "resolved"), ("5", "string"): ("9", "string", "resolved"), ("6", "int"): (None, None, "invisible")}
+    kids = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id long, fk long")
+    live = spark.createDataFrame([("5", "int"), ("6", "int")], "record_id string, record_id_type string")
+    assert sorted(r["id"] for r in resolve.guard_new_children(kids, "fk", live, ledger, "dom").collect()) == [1, 3]
+
+
+def desk_of(spark, tmp_path, df, kids, d=CONTACTS, events=None):
+    desk = Desk(Store(spark, f"file://{tmp_path}/d"), d, {"contacts": df.schema, "notes": kids.schema}, KEY, AUDIT, lambda: NOW, [lambda *e: events.append(e)] if events is not None else [])
+    desk.load(contacts=df, notes=kids)
+    return desk
+
+
+def decided(desk, context, pairs, **choices):
+    plans = desk.plan(context, pairs).select("source_id", "survivor_id", "fingerprint")
+    given = F.create_map(*[F.lit(x) for kv in choices.items() for x in kv]) if choices else F.create_map().cast("map<string,string>")
+    return plans.withColumn("choices", given).withColumn("operation_id", F.concat(F.lit("op-"), "source_id")).checkpoint()
+
+
+def test_desk_commits_replays_and_audits(spark, context, tmp_path):
+    events = []
+    df = contacts(spark, {"reference": "a", "display_name": "Old"}, {"reference": "a", "display_name": "New"}, {"reference": "z"}).repartition(3, "id")
+    kids = notes(spark, (1, "one"), (2, "two"), (3, "three"))
+    desk = desk_of(spark, tmp_path, df, kids, events=events)
+    untouched = set(desk.store.state()["tables"]["contacts"])
+    pair = spark.createDataFrame([("2", "1")], PAIRS)
+    plans = decided(desk, context, pair, display_name="source")
+    (one,) = desk.merge(context, plans).collect()
+    assert not one["replayed"] and one["moved_total"] == 1 and one["written"] == {"display_name": '"New"'}
+    assert [e[0] for e in events] == ["MergeCompleted"]
+    state = desk.store.state()
+    assert untouched & set(state["tables"]["contacts"])  # files without a touched record are kept by name
+    rows = {r["id"]: r for r in desk.table("contacts").collect()}
+    assert len(rows) == 3 and rows[1]["display_name"] == "New" and rows[2]["deleted_at"] is not None and rows[3]["deleted_at"] is None
+    assert {r["body"]: r["contact_id"] for r in desk.table("notes").collect()} == {"one": 1, "two": 1, "three": 3}
+    # Again: the same is a replay and changes nothing, other choices and other actors are refused.
+    assert [r["replayed"] for r in desk.merge(context, plans).collect()] == [True] and desk.store.version() == state["version"]
+    with pytest.raises(DomainConflict, match="choices"):
+        desk.merge(context, plans.withColumn("choices", F.create_map(F.lit("display_name"), F.lit("survivor"))))
+    with pytest.raises(ForbiddenOperation, match="actor"):
+        desk.merge(replace(context, actor="other"), plans)
+    assert events[-1][0] == "MergeFailed" and events[-1][1]["code"] == "forbidden_operation"
+    audit = desk.audit_read(context, "op-2")
+    assert audit["actor"] == context.actor and audit["relations"] == [{"relation": "notes", "count": 1, "child_ids": ["int:2"]}] and audit["reasons"] == ["reference"]
+    with pytest.raises(RecordUnavailable):
+        desk.audit_read(context, "nope")
+    with pytest.raises(ForbiddenOperation):
+        desk.audit_read(replace(context, scope="x"), "op-2")
+    # A record that was merged away is neither source nor survivor again.
+    gone = desk.survivors(context, spark.createDataFrame([("2", "int")], "record_id string, record_id_type string")).first()
+    assert (gone["survivor_id"], gone["status"]) == ("1", "resolved")
+
+
+def test_desk_makes_a_merge_again_when_another_came_first(spark, context, tmp_path):
+    df = contacts(spark, *[{"reference": r} for r in "aabb"])
+    desk = desk_of(spark, tmp_path, df, notes(spark, (1, "x")))
+    first, second = (decided(desk, context, spark.createDataFrame([p], PAIRS)) for p in (("2", "1"), ("4", "3")))
+    swap, seen = desk.store.swap, []
+
+    def late(base, tables):
+        if not seen:
+            seen.append(1)
+            desk.merge(context, second)
+        return swap(base, tables)
+
+    desk.store.swap = late
+    assert not desk.merge(context, first).first()["replayed"]
+    assert sorted(r["id"] for r in desk.table("contacts").where("deleted_at is not null").collect()) == [2, 4] and desk.ledger().count() == 2
+
+
+def test_desk_asks_for_every_ability(spark, context, tmp_path):
+    df, kids = contacts(spark, {"reference": "a"}, {"reference": "a"}), notes(spark, (2, "x"))
+    pair = spark.createDataFrame([("2", "1")], PAIRS)
+    desk = desk_of(spark, tmp_path, df, kids)
+    plans = decided(desk, context, pair)
+    m = keys.build_keys(CONTACTS, df, KEY)
+    encoded = spark.createDataFrame([("int:1", "int:2")], "a string, b string")
+    steps = {Ability.REVIEW: lambda x: x.review_page(context, m), Ability.DISMISS: lambda x: x.dismiss(context, encoded), Ability.MERGE: lambda x: x.merge(context, plans), Ability.VIEW_AUDIT: lambda x: x.audit_read(context, "op-2")}
+    for ability, step in steps.items():
+        desk.d = replace(CONTACTS, authorizer=AbilityMap(frozenset(Ability) - {ability}))
+        with pytest.raises(ForbiddenOperation):
+            step(desk)
+    # Records, pairs and children are asked about, too.
+    for limits in (AbilityMap(frozenset(Ability), F.col("id") != 1), AbilityMap(frozenset(Ability), None, F.col("source__id") != 2), AbilityMap(frozenset(Ability), None, None, F.col("body") != "x")):
+        desk.d = replace(CONTACTS, authorizer=limits)
+        with pytest.raises(ForbiddenOperation):
+            desk.merge(context, plans)
+    desk.d = CONTACTS
+    groups, total, pages = desk.review_page(context, m)
+    assert (total, pages) == (1, 1) and [x["record_id"] for x in groups.first()["members"]] == ["1", "2"]
+    desk.dismiss(context, encoded)
+    assert desk.review_page(context, m)[1] == 0 and desk.dismissals().count() == 1
+    desk.reopen(context, [desk.dismissals().first()["pair_hash"]])
+    assert desk.review_page(context, m)[1] == 1
+
+
+def test_a_retired_survivor_is_refused(spark):
+    df = contacts(spark, {"reference": "a"}, {"reference": "a"})
+    ledger = spark.createDataFrame([("dom", "1", "int"), ("dom", "2", "string")], "retirement_domain string, source_id string, source_id_type string")
+    assert planned(spark, df, notes(spark, (2, "x")), ledger=ledger).first()["blockers"] == ["survivor_retired"]
