@@ -131,9 +131,10 @@ def train(docs: DataFrame, settings: Settings = Settings(), parts: int = 3, part
     """Filters from about ``rows_per_language`` documents of each language outside the held-out fold.
 
     The rate of each language is set from its row count, so the sample is bounded by the
-    number of languages and rare languages are used whole.
+    number of languages and rare languages are used whole, but for texts beyond
+    ``shared.SAMPLE_TEXT_BYTES``.
     """
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~shared.held_out(F.col("doc_id"), parts, part))
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & shared.learnable(F.col("text")) & ~shared.held_out(F.col("doc_id"), parts, part))
     counts = {r["lang"]: r["count"] for r in known.select("lang").groupBy("lang").count().collect()}
     if not counts:
         return fit([], [], settings)

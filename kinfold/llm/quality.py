@@ -6,8 +6,7 @@ a few numbers, learned filters respond to each chunk, the strongest response of
 filter over the whole document is kept, and a logistic layer combines them into one
 probability. Gradients flow through the chunk that gave each maximum.
 
-Edge cases: a null or empty text is one chunk of padding and gets the score the network
-gives to that; long texts are covered whole; extra columns are ignored; repeated rows get
+Edge cases: a null or empty text has no quality and scores 0, with any network; long texts are covered whole; extra columns are ignored; repeated rows get
 equal scores; an empty table gives an empty result; without labels the score is 0.5.
 """
 
@@ -81,6 +80,7 @@ def probabilities(texts, net: Network) -> np.ndarray:
     for lo, hi in slices(texts, 1 << 20):
         pooled = np.tanh(_pooled(*chunked(texts[lo:hi], net.settings), net))
         out[lo:hi] = 1 / (1 + np.exp(-(pooled @ net.head + net.bias).astype(float)))
+    out[[not t for t in texts]] = 0.0
     return out
 
 

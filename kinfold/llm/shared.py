@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is set.
+    Only where the setting is absent and all of Spark runs on one machine (tests) a temporary
+    folder is set; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="kinfold-"))
     return sc.getCheckpointDir()
 
@@ -69,12 +72,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a text up to which it may be learned from: with the rows of a sample this bounds the driver's memory.
+SAMPLE_TEXT_BYTES = 256 << 10
+
+
+def learnable(text: Column) -> Column:
+    """Texts that may come to the driver in a sample. Scores are of texts of any length."""
+    return text.isNotNull() & (F.octet_length(text) <= SAMPLE_TEXT_BYTES)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, parts: int, part: int) -> tuple[list[str], list[int]]:
     """About ``bound`` labelled texts outside the held-out fold, for training on the driver.
 
     Rows are chosen by a hash of the id at the rate bound / labelled rows, so the sample
     does not grow with the corpus and every text is whole. Rows with a null id, label or
-    text are left out. Of an id with several rows all take part.
+    text and texts beyond ``SAMPLE_TEXT_BYTES`` are left out. Of an id with several rows all take part.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), parts, part))
     known = known.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -82,7 +94,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     rate = min(1.0, bound / max(1, total))
     # The sampled labels are bounded by construction, so this side may be broadcast.
     picked = known.where(unit(F.col("doc_id"), F.lit(label)) < F.lit(rate))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").toPandas()
+    rows = docs.select("doc_id", "text").where(learnable(F.col("text"))).join(F.broadcast(picked), "doc_id").toPandas()
     rows = rows.sort_values(["doc_id", "text", "y"], kind="stable")
     return rows["text"].tolist(), rows["y"].astype(int).tolist()
 

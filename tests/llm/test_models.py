@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from kinfold.llm import langid, quality, toxicity
+from kinfold.llm import langid, quality, shared, toxicity
 from kinfold.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -99,3 +99,19 @@ def test_odd_rows(spark, n_labels):
     assert kept.schema == docs.schema and kept.count() == len(ODD)
     none = docs.where("false")
     assert quality.score(none, quality.train(none, labels)).count() == 0 and toxicity.reject(none, labels).count() == 0 and langid.identify(none, langid.train(none)).count() == 0
+
+
+def test_a_text_without_a_character_has_no_quality(spark):
+    """Whatever a fit makes of padding, empty texts score 0."""
+    for seed in (1, 2):
+        net = quality.fit(["good " * 20, "bad " * 20] * 10, [1, 0] * 10, quality.Settings(seed=seed, epochs=2))
+        p = quality.probabilities([None, "", " ", "good " * 20], net)
+        assert p[0] == p[1] == 0 and (p[2:] > 0).all()
+
+
+def test_samples_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(shared, "SAMPLE_TEXT_BYTES", 100)
+    docs = spark.createDataFrame([(i, "x" * (50 + i), "en") for i in range(200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    texts, y = shared.labelled_sample(docs, labels, "quality", 1000, 4, 2)
+    assert texts and max(map(len, texts)) <= 100 and len(texts) == len(y)
