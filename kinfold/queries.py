@@ -370,9 +370,9 @@ def signature_changed(spark, d):
     return _review(spark, d).where("changed").select("record_id", "rule_id")
 
 
-@_query("""select p_partkey, case when p_partkey % 17 = 0 then '#' || p_partkey else p_name end review_title, case when p_partkey % 17 = 0 then '' else p_name end plan_title from part where p_partkey % 13 <> 0 and p_partkey % 11 <> 0""")
+@_query(f"with {_NOW_SQL} select p_partkey, case when p_name = '' then '#' || p_partkey else p_name end review_title, p_name plan_title from now")
 def title_projection(spark, d):
-    p, t, k = _now_parts(spark, d).where("p_partkey % 11 <> 0"), F.col("p_name"), F.col("p_partkey")
+    p, t, k = _now_parts(spark, d), F.col("p_name"), F.col("p_partkey")
     return p.select("p_partkey", review.review_title(t, k).alias("review_title"), review.plan_title(t, k).alias("plan_title"))
 
 
