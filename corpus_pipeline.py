@@ -9,28 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm import decontaminate, mixture, setjoin, shared, tokenids, toxicity
-from kinfold.llm.queries import BATCH_ROWS
-
-
-def _session(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+from kinfold.llm.queries import bound_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold, by a model of the labels table."""
-    _session(spark)
+    bound_batches(spark)
     return toxicity.reject(docs, shared.table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    _session(spark)
+    bound_batches(spark)
     return setjoin.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    _session(spark)
+    bound_batches(spark)
     return decontaminate.clean(docs, shared.table(spark, sf_dir, "benchmark"))
 
 
@@ -41,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards in the shared folder, and a row per document read back from them."""
-    _session(spark)
+    bound_batches(spark)
     folder = shared.work_dir(spark, "pipeline-ids")
     manifest = tokenids.write(docs, tokenids.public_vocabulary, folder)
     return tokenids.read(spark, folder, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
