@@ -6,10 +6,11 @@ a hash. In a shard, every node's greedy search from the medoid proposes neighbou
 pruning keeps the nearest and drops each candidate that a kept neighbour is nearer to by
 the factor alpha, so long diverse edges survive; reverse edges are added and pruned in the
 same way. Queries run a beam search in every shard and the best of all shards win.
-Distances are Euclidean, in double precision, on the original vectors; ties go to the
-smaller id.
+Distances are Euclidean, in double precision, on the original vectors (floats stay floats,
+all other numbers are doubles); ties go to the smaller id.
 
-Queries are sent to the shards in blocks of bounded size.
+Queries are rows of a table too, packed in blocks of bounded size. Every block meets every
+shard on the executors (the stated queries against all rows), a pair at a time in a task.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no
 part; vectors of different lengths never meet; rows that repeat an id and its vector are
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 
@@ -54,7 +56,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, bea
     """
     n, beam = len(q), min(beam, len(x))
     ids = np.full((n, beam), -1, np.int64)
-    dist = np.full((n, beam), np.inf, np.float32)
+    dist = np.full((n, beam), np.inf, x.dtype)
     done = np.ones((n, beam), bool)
     ids[:, 0] = entry
     dist[:, 0] = ((x[entry] - q) ** 2).sum(1)
@@ -69,7 +71,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, bea
             step[live] = node
             steps.append(step)
         near = graph[node]
-        d = _distances(x, np.maximum(near, 0), q[live]).astype(np.float32)
+        d = _distances(x, np.maximum(near, 0), q[live]).astype(x.dtype)
         known = (near[:, :, None] == ids[live][:, None, :]).any(2)
         d[known | (near < 0) | (d >= dist[live, -1:])] = np.inf
         all_d = np.concatenate([dist[live], d], 1)
@@ -146,27 +148,38 @@ def build(x: np.ndarray, s: Settings) -> tuple[np.ndarray, int]:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and v of the rows that take part."""
+    """vec_id and v of the rows that take part. Vectors of floats stay so, others are of doubles."""
     v = F.col(vector_col)
+    kind = "float" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "double"
+    v = v.cast(f"array<{kind}>")
     fine = v.isNotNull() & F.col(id_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), fine.alias("fine")).where("fine").select("vec_id", F.col("v").cast("array<float>").alias("v"))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), fine.alias("fine")).where("fine").select("vec_id", "v")
+
+
+def _kind(df: DataFrame) -> str:
+    return "<f4" if isinstance(df.schema["v"].dataType.elementType, T.FloatType) else "<f8"
+
+
+def _dealt(rows: DataFrame, size: int, *by: str) -> tuple[DataFrame, int]:
+    """Rows with ``part``, by a hash of ``by``, of each length about ``size`` rows a part; and the number of parts."""
+    sizes = {r["dims"]: r["n"] for r in rows.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # one row a length
+    if not sizes:
+        return rows.withColumn("part", F.lit(0).cast("long")), 1
+    parts = {d: -(-n // size) for d, n in sizes.items()}
+    many = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("dims")]
+    # A part is bounded, so its rows may stand in one.
+    total = sum(parts.values())
+    return rows.withColumn("part", F.pmod(F.xxhash64(*by), many)).repartition(total, "dims", "part"), total
 
 
 def index(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row per shard: dims, shard, nodes, vectors, graph, entry, ids and where each node's ids end."""
-    w = Window.partitionBy("v").orderBy("vec_id")
+    """One row per shard: dims, part, vectors, graph, entry, ids and where each node's ids end."""
+    w, kind = Window.partitionBy("v").orderBy("vec_id"), _kind(rows)
     nodes = rows.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= s.k + 1)
     nodes = nodes.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    nodes = shared.cut(nodes.withColumn("dims", F.size("v")))
-    sizes = {r["dims"]: r["n"] for r in nodes.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # one row a length
-    if not sizes:
-        shards = F.lit(1)
-    else:
-        shards = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, -(-n // s.shard_rows))])[F.col("dims")]
-    # A shard is bounded, so its nodes may stand in one row.
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), shards)).repartition(max(1, sum(-(-n // s.shard_rows) for n in sizes.values())), "dims", "shard")
-    packed = dealt.groupBy("dims", "shard").agg(F.array_sort(F.collect_list(F.struct("ids", "v"))).alias("m"))
-    packed = packed.select("dims", "shard", F.col("m.ids").alias("ids"), F.flatten("m.v").alias("flat"))
+    dealt, total = _dealt(shared.cut(nodes.withColumn("dims", F.size("v"))), s.shard_rows, "v")
+    packed = dealt.groupBy("dims", "part").agg(F.array_sort(F.collect_list(F.struct("ids", "v"))).alias("m"))
+    packed = packed.select("dims", "part", F.col("m.ids").alias("ids"), F.flatten("m.v").alias("flat"))
 
     def run(batches):
         import pyarrow as pa
@@ -174,54 +187,50 @@ def index(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 dims, ids = b.column(0)[k].as_py(), b.column(2)[k].as_py()
-                x = np.asarray(b.column(3)[k].values, np.float32).reshape(-1, dims)
+                x = np.asarray(b.column(3)[k].values, kind).reshape(-1, dims)
                 graph, entry = build(x, s)
                 ends = np.cumsum([len(i) for i in ids])
-                yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([b.column(1)[k].as_py()], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([graph.astype(np.int32).tobytes()], pa.binary()), pa.array([entry], pa.int32()), pa.array([np.concatenate(ids).astype(np.int64).tobytes()], pa.binary()), pa.array([ends.astype(np.int64).tobytes()], pa.binary())], names=["dims", "shard", "vectors", "graph", "entry", "ids", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([b.column(1)[k].as_py()], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([graph.astype(np.int32).tobytes()], pa.binary()), pa.array([entry], pa.int32()), pa.array([np.concatenate(ids).astype(np.int64).tobytes()], pa.binary()), pa.array([ends.astype(np.int64).tobytes()], pa.binary())], names=["dims", "part", "vectors", "graph", "entry", "ids", "ends"])
+
+    return packed.coalesce(total).mapInArrow(run, "dims int, part long, vectors binary, graph binary, entry int, ids binary, ends binary")
 
-    return packed.mapInArrow(run, "dims int, shard long, vectors binary, graph binary, entry int, ids binary, ends binary")
+
+def query_blocks(queries: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One row per block of queries: q_dims, q_ids and q_flat, its vectors one after the other."""
+    dealt, total = _dealt(queries.withColumn("dims", F.size("v")), s.block_queries, "vec_id", "v")
+    packed = dealt.groupBy("dims", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias("m"))
+    return packed.select(F.col("dims").alias("q_dims"), F.col("m.vec_id").alias("q_ids"), F.flatten("m.v").alias("q_flat")).coalesce(total)
 
 
 def search(shards: DataFrame, queries: DataFrame, s: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows but its own."""
-    spark = shards.sparkSession
-    out = spark.createDataFrame([], "query_id long, vec_id long, score double")
-
-    def blocks():
-        rows = []
-        for r in queries.select("vec_id", "v").toLocalIterator():
-            rows.append((r["vec_id"], r["v"]))
-            if len(rows) >= s.block_queries:
-                yield rows
-                rows = []
-        if rows:
-            yield rows
-
-    for rows in blocks():
-        by_dims: dict[int, tuple] = {}
-        for d in {len(v) for _, v in rows}:
-            own = [(i, v) for i, v in rows if len(v) == d]
-            by_dims[d] = (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float32))
-        held = spark.sparkContext.broadcast(by_dims)  # bounded by block_queries
-
-        def run(batches, held=held):
-            import pyarrow as pa
-
-            for b in batches:
-                for k in range(b.num_rows):
-                    dims = b.column(0)[k].as_py()
-                    if dims not in held.value:
-                        continue
-                    qid, q = held.value[dims]
-                    x = np.frombuffer(b.column(2)[k].as_py(), np.float32).reshape(-1, dims)
-                    graph = np.frombuffer(b.column(3)[k].as_py(), np.int32).reshape(len(x), -1).astype(np.int64)
-                    ids, ends = (np.frombuffer(b.column(c)[k].as_py(), np.int64) for c in (5, 6))
-                    for lo in range(0, len(q), 256):
-                        found, _ = beam_search(x, graph, q[lo : lo + 256], b.column(4)[k].as_py(), s.search_beam)
-                        rows = _nearest(x, ids, ends, qid[lo : lo + 256], q[lo : lo + 256], found, s.k)
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["query_id", "vec_id", "score"])
-
-        out = out.unionByName(shards.mapInArrow(run, "query_id long, vec_id long, score double"))
+    kind = _kind(queries)
+    blocks = shared.cut(query_blocks(queries, s))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for r in range(b.num_rows):
+                dims, entry = b.column("dims")[r].as_py(), b.column("entry")[r].as_py()
+                if dims != b.column("q_dims")[r].as_py():
+                    continue
+                x = np.frombuffer(b.column("vectors")[r].as_py(), kind).reshape(-1, dims)
+                graph = np.frombuffer(b.column("graph")[r].as_py(), np.int32).reshape(len(x), -1).astype(np.int64)
+                ids, ends = (np.frombuffer(b.column(c)[r].as_py(), np.int64) for c in ("ids", "ends"))
+                qid = np.asarray(b.column("q_ids")[r].values, np.int64)
+                q = np.asarray(b.column("q_flat")[r].values, kind).reshape(-1, dims)
+                for lo in range(0, len(q), 256):
+                    found, _ = beam_search(x, graph, q[lo : lo + 256], entry, s.search_beam)
+                    rows = _nearest(x, ids, ends, qid[lo : lo + 256], q[lo : lo + 256], found, s.k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["query_id", "vec_id", "score"])
+
+    # No key: the few blocks of the stated queries meet each shard once, as rows of bounded size. A task
+    # takes some shards and some blocks, so tasks grow neither with the product of both nor too long.
+    n, m = shards.rdd.getNumPartitions(), blocks.rdd.getNumPartitions()
+    few = shards.drop("part").coalesce(max(1, min(n, max(4096, -(-n // 16)))))
+    pairs = few.crossJoin(blocks.coalesce(max(1, -(-m // 64))))
+    out = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
 

@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from . import anngraph, decontaminate, htmltext, langid, mixture, quality, setjoin, shared, tokenids, toxicity, warc
 
-#: Rows of an Arrow batch: with texts of any length this bounds a Python worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, which bound a Python worker's memory whatever the length of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches within the bounds, or the session's own where they are smaller."""
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        own = spark.conf.get(key).rstrip("b")
+        if not own.isdigit() or not 0 < int(own) <= bound:
+            spark.conf.set(key, str(bound))
 
 
 def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     return [shared.table(spark, sf_dir, n) for n in names]
 
 

@@ -65,3 +65,12 @@ def test_few_and_odd_rows(spark):
     assert out == [(0, 1, 1), (0, 2, 100), (100, 1, 0), (100, 2, 1), (200, 1, 8)]
     assert ann.nearest(df.where("false"), F.lit(True)).count() == 0
     assert len({r["vec_id"] for r in ann.nearest(df, F.col("vec_id") == 0, ann.Settings(block_queries=1)).collect()}) == 2
+
+
+def test_doubles_keep_their_precision(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 1.0 + 5e-10]), (2, [1.0, 1.0 + 2e-10]), (3, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(i, abs(rows[0][1][1] - rows[i][1][1])) for i in (2, 1, 3)]
+    whole = spark.createDataFrame([(0, [16777217]), (100, [16777216]), (2, [16777219])], "vec_id long, embedding array<int>")
+    assert [(r["vec_id"], r["score"]) for r in ann.nearest(whole, F.col("vec_id") == 0).orderBy("rank").collect()] == [(100, 1.0), (2, 2.0)]
