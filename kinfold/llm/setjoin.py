@@ -17,12 +17,18 @@ join finds all pairs of different texts with Jaccard similarity of at least 0.8:
 4. Buckets still large after the last split (large true groups) are cut in blocks and
    every pair of blocks is compared, which is exact.
 5. Brute force over sketches proposes edges. Nodes connected by proposals of any run form a
-   family; all pairs of a family are verified once with their full shingle sets, in blocks
-   where it is large. So no bucket or run verifies a pair again, and nothing is reported on
-   an estimate.
+   family; the pairs of a family that can be similar are verified once with their full
+   shingle sets. Families are cut by set size: a set meets sets of its own band of sizes (a
+   band spans a factor of 1 / similarity) and of the next, and no others, as sets of more
+   different sizes cannot reach the similarity. Bands are cut in blocks bounded in nodes and
+   bytes. So no bucket or run verifies a pair again, and nothing is reported on an estimate.
 6. Links become classes by alternating large-star and small-star steps over an edge
    table, cut by checkpoints in the shared folder; nothing is gathered on the driver.
 
+Rows meet the table of their bucket, family or text in :func:`_meet`, which spreads the rows
+of a key that many rows share (a very common path, a text copied many times) over tasks by
+salts, so no task sees all rows of a key.
+
 Edge cases: null texts and texts without words have no links, each row is its own class
 with one copy; a text of 1 to 4 words is one shingle; repeated rows and ids count as
 copies; ties and order do not matter, a class is named by its smallest id (null if all
@@ -35,7 +41,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import shared
@@ -53,6 +59,7 @@ class Settings:
     slack: float = 0.26  #: sketches propose pairs estimated at similarity - slack; over 5 standard deviations
     block: int = 2048  #: nodes of a bucket that cannot be split, compared by sketches in one group
     family: int = 256  #: nodes of a family verified in one group; larger families are cut in blocks
+    group_bytes: int = 32 << 20  #: and bytes of their shingles; a single set may be larger
 
     @property
     def agree(self) -> int:
@@ -185,8 +192,8 @@ def _proposals(buckets: DataFrame, s: Settings) -> DataFrame:
 def _verified(groups: DataFrame, s: Settings, listed: bool) -> DataFrame:
     """node, n_links, head and links: the exact neighbours of each member of a family that has any.
 
-    A group is one block of a family, whose pairs are compared, or two, of which only pairs
-    across are, so every pair of a family is compared once. ``head`` is the smallest node that
+    A group is one block of a family, whose pairs are compared, or two (``across``), of which only
+    pairs of different sides are, so every pair of a family is compared once. ``head`` is the smallest node that
     the group's links connect it to; ``links`` is empty unless they are to be ``listed``.
     """
 
@@ -195,12 +202,12 @@ def _verified(groups: DataFrame, s: Settings, listed: bool) -> DataFrame:
 
         for b in batches:
             nodes, counts, heads, links = [], [], [], []
-            for own, raw, block in zip(*(b.column(c).to_pylist() for c in range(3))):
+            for own, raw, block, across in zip(*(b.column(c).to_pylist() for c in range(4))):
                 sets = [np.frombuffer(x, np.uint64) for x in raw]
                 sizes, side = np.array([len(x) for x in sets]), np.array(block)
                 common = _common(sets, sizes)
                 near = common >= s.similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-                if (side != side[0]).any():
+                if across:
                     near &= side[:, None] != side[None, :]
                 np.fill_diagonal(near, False)
                 linked = np.flatnonzero(near.any(1))
@@ -214,7 +221,7 @@ def _verified(groups: DataFrame, s: Settings, listed: bool) -> DataFrame:
                     links.append([own[j] for j in np.flatnonzero(near[i])] if listed else [])
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(heads, pa.binary()), pa.array(links, pa.list_(pa.binary()))], names=["node", "n_links", "head", "links"])
 
-    return groups.select("nodes", "sets", "sides").mapInArrow(run, "node binary, n_links long, head binary, links array<binary>")
+    return groups.select("nodes", "sets", "sides", "across").mapInArrow(run, "node binary, n_links long, head binary, links array<binary>")
 
 
 def _common(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
@@ -258,6 +265,38 @@ def _shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node binary, shingles binary")
 
 
+#: Rows of a key up to which they may stand in one task, and keys up to which those with more are broadcast.
+HOT_ROWS, BROADCAST_KEYS = 1024, 50_000
+
+
+def _kept(table: DataFrame, n: str, **counted) -> tuple[DataFrame, dict[str, int]]:
+    """The table, kept, and counted on the way: ``hot``, its keys with more than ``HOT_ROWS`` rows by column ``n``, and what else is asked."""
+    seen = Observation()
+    wanted = {"hot": F.col(n) > HOT_ROWS, **counted}
+    kept = shared.cut(table.observe(seen, *[F.count_if(c).alias(k) for k, c in wanted.items()]))
+    return kept, {k: int(v or 0) for k, v in seen.get.items()}
+
+
+def _meet(rows: DataFrame, table: DataFrame, key: str, n: str, many: int) -> DataFrame:
+    """Inner join with a kept table of one row a key, whose column ``n`` is the number of rows of the key.
+
+    The rows of the ``many`` keys with more than ``HOT_ROWS`` are dealt over as many salts as that takes.
+    """
+    if not many:
+        return rows.join(table, key)
+    parts = F.greatest(F.lit(1), F.ceil(F.col(n) / HOT_ROWS)).cast("int")
+    hot = table.where(F.col(n) > HOT_ROWS).select(key, parts.alias("_parts"))
+    if many <= BROADCAST_KEYS:
+        marked = rows.join(F.broadcast(hot), key, "left")
+    else:
+        first = 64
+        hot = hot.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(first - 1))))
+        marked = rows.withColumn("_first", F.pmod(F.xxhash64(*rows.columns), F.lit(first)).cast("int")).join(hot, [key, "_first"], "left").drop("_first")
+    marked = marked.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns, F.lit(7)), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return marked.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def _blocked(rows: DataFrame, group: str, n: str, size: int) -> DataFrame:
     """Rows with key (group, a, b) and side: groups of up to ``size`` rows stay whole, larger ones
     are cut in blocks by a hash of the node, and each two blocks make a key."""
@@ -266,6 +305,49 @@ def _blocked(rows: DataFrame, group: str, n: str, size: int) -> DataFrame:
     return out.withColumn("key", F.struct(group, F.least("side", "_o").alias("a"), F.greatest("side", "_o").alias("b"))).drop("_o")
 
 
+def _banded(family: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
+    """node, key and side for the groups in which the pairs of a family are verified.
+
+    ``family`` has node and root, ``sizes`` node and n_shingles. Families within the bounds are one
+    group. Of others a side is (band of sizes, block): each two blocks of a band make a key, and
+    each block with each of the next band.
+    """
+    volume = F.sum("n_shingles").alias("volume")
+    large = (F.col("n") > s.family) | (F.col("volume") * 8 > s.group_bytes)
+    sized = family.join(sizes, "node")
+    table, seen = _kept(sized.groupBy("root").agg(F.count("*").alias("n"), volume), "n", large=large)
+    whole = _meet(sized, table, "root", "n", seen["hot"])
+    small = whole.where(~large).select("node", F.struct("root", F.lit(0).alias("band"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(False).alias("across")).alias("key"), F.lit(0).alias("side"))
+    if not seen["large"]:
+        return small
+    # One band spans a factor of 1 / similarity, with a little to spare for rounding.
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(s.similarity) * (1 + 1e-9))).cast("int")
+    rest = whole.where(large).select("node", "root", "n_shingles", band.alias("band"))
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(s.family / 2)), F.ceil(F.sum("n_shingles") * 8 / F.lit(s.group_bytes / 2))).cast("int")
+    bands = rest.groupBy("root", "band").agg(parts.alias("parts"), F.count("*").alias("n"))
+    # The bands of a family are few (they grow with the logarithm of the sizes), so they fit in a map.
+    maps, seen = _kept(bands.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts"), F.sum("n").alias("n")), "n")
+    rest = _meet(rest, maps, "root", "n", seen["hot"])
+    own, up, down = (F.coalesce(F.try_element_at("parts", F.col("band") + F.lit(d)), F.lit(0)) for d in (0, 1, -1))
+    block = F.pmod(F.xxhash64("node"), own).cast("int")
+    rest = rest.withColumn("block", block).withColumn("up", up).withColumn("down", down).withColumn("own", own)
+
+    def keys(count: str, make):
+        return F.transform(F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>")), make)
+
+    def key(band, a, b, across: bool, side):
+        return F.struct(F.struct("root", band.alias("band"), a.alias("a"), b.alias("b"), F.lit(across).alias("across")).alias("key"), side.alias("side"))
+
+    here, mine = F.col("band"), F.col("block")
+    groups = F.concat(
+        keys("own", lambda j: key(here, F.least(mine, j), F.greatest(mine, j), False, mine)),
+        keys("up", lambda j: key(here, mine, j, True, F.lit(0))),
+        keys("down", lambda j: key(here - 1, j, mine, True, F.lit(1))),
+    )
+    rest = rest.select("node", F.explode(groups).alias("g")).select("node", "g.key", "g.side")
+    return small.unionByName(rest)
+
+
 def links(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """node and links (array of nodes): the different texts within the similarity, for nodes that have any."""
     return _joined(docs, settings, True).groupBy("node").agg(F.flatten(F.collect_list("links")).alias("links"))
@@ -278,10 +360,10 @@ def _joined(docs: DataFrame, s: Settings, listed: bool) -> DataFrame:
     sketch = shared.cut(_sketched(nodes, s.coordinates).groupBy("node").agg(F.max("sketch").alias("sketch")))
     level, found = sketch.withColumn("path", F.lit(0).cast("long")), None
     for depth in range(1, s.depth + 1):
-        keyed = _children(level, s.runs if depth == 1 else 1, s, depth)
         # Only paths and nodes are dealt by path; sketches follow where two nodes meet.
-        count = keyed.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        met = shared.cut(keyed.join(count, "path"))
+        keyed = _children(level, s.runs if depth == 1 else 1, s, depth)
+        count, seen = _kept(keyed.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "n")
+        met = shared.cut(_meet(keyed, count, "path", "n", seen["hot"]))
         small = met if depth == s.depth else met.where(F.col("n") <= s.bucket)
         packed = _blocked(small, "path", "n", s.block if depth == s.depth else s.bucket).join(sketch, "node").groupBy("key").agg(F.collect_list(F.struct("node", "sketch")).alias("m"))
         edges = _proposals(packed.select(F.col("m.node").alias("nodes"), F.col("m.sketch").alias("sketches")), s).distinct()
@@ -289,11 +371,12 @@ def _joined(docs: DataFrame, s: Settings, listed: bool) -> DataFrame:
         level = met.where(F.col("n") > s.bucket).join(sketch, "node")
     # Families of nodes that proposals connect, whatever the run or bucket: verified once.
     family = shared.cut(classes(found))
-    sized = family.join(family.groupBy("root").agg(F.count("*").alias("n")), "root")
-    text = nodes.join(family.select("node"), "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
-    sets = _blocked(sized.join(_shingle_sets(text), "node"), "root", "n", s.family)
-    packed = sets.groupBy("key").agg(F.collect_list(F.struct("node", "shingles", "side")).alias("m"))
-    packed = packed.select(F.col("m.node").alias("nodes"), F.col("m.shingles").alias("sets"), F.col("m.side").alias("sides"))
+    # Copies of a text become one row before they meet the families.
+    text = nodes.groupBy("node").agg(F.max("text").alias("text")).join(family.select("node"), "node")
+    sets = shared.cut(_shingle_sets(text))
+    groups = _banded(family, sets.select("node", (F.length("shingles") / 8).cast("long").alias("n_shingles")), s)
+    packed = groups.join(sets, "node").groupBy("key").agg(F.collect_list(F.struct("node", "shingles", "side")).alias("m"))
+    packed = packed.select(F.col("m.node").alias("nodes"), F.col("m.shingles").alias("sets"), F.col("m.side").alias("sides"), (F.col("key.across") | (F.col("key.a") != F.col("key.b"))).alias("across"))
     return _verified(packed, s, listed)
 
 
@@ -312,8 +395,9 @@ def classes(edges: DataFrame) -> DataFrame:
         # Now a > b in each edge: the smaller neighbours of a node all go to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        e = shared.cut(small)
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        seen = Observation()
+        e = shared.cut(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+        state = seen.get
         if state == before:
             break
         before = state
@@ -334,10 +418,10 @@ def _classed(docs: DataFrame, s: Settings) -> DataFrame:
     known = keyed.where(F.col("node").isNotNull())
     per_node = known.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"))
     per_node = per_node.join(counts, "node", "left").join(classes(edges), "node", "left")
-    per_node = shared.cut(per_node.withColumn("root", F.coalesce("root", "node")))
+    per_node, seen = _kept(per_node.withColumn("root", F.coalesce("root", "node")), "n_copies")
     named = per_node.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "node"))).alias("k"))
     per_node = per_node.join(named, "root").select("node", "class_id", F.col("k.node").alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    linked = known.join(per_node, "node").select("doc_id", "node", "class_id", "kept", "n_links", "n_copies")
+    linked = _meet(known, per_node, "node", "n_copies", seen["hot"]).select("doc_id", "node", "class_id", "kept", "n_links", "n_copies")
     alone = keyed.where(F.col("node").isNull()).select("doc_id", "node", F.col("doc_id").alias("class_id"), F.col("node").alias("kept"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return linked.unionByName(alone)
 
@@ -354,9 +438,12 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Of rows that repeat an id and its text one stays. Rows with a null id and rows without
     words all stay.
     """
+    name = "_node"
+    while name in docs.columns:
+        name += "_"
     gone = _classed(docs, settings).where("doc_id <> class_id or node <> kept").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct()
-    keyed = docs.withColumn("_node", F.when(_has_words(F.col("text")), F.unhex(F.md5(F.encode("text", "UTF-8")))))
-    fixed = keyed.where(F.col("doc_id").isNull() | F.col("_node").isNull())
-    rest = keyed.where(F.col("doc_id").isNotNull() & F.col("_node").isNotNull())
-    rest = rest.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.col("_node") == F.col("_gone_node")), "left_anti").dropDuplicates(["doc_id", "_node"])
-    return rest.unionByName(fixed).drop("_node")
+    keyed = docs.withColumn(name, F.when(_has_words(F.col("text")), F.unhex(F.md5(F.encode("text", "UTF-8")))))
+    fixed = keyed.where(F.col("doc_id").isNull() | F.col(name).isNull())
+    rest = keyed.where(F.col("doc_id").isNotNull() & F.col(name).isNotNull())
+    rest = rest.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.col(name) == F.col("_gone_node")), "left_anti").dropDuplicates(["doc_id", name])
+    return rest.unionByName(fixed).drop(name)

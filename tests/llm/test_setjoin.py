@@ -179,3 +179,56 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     out = {bytes(r["node"]).decode(): bytes(r["root"]).decode() for r in sj.classes(df).collect()}
     assert len(out) == 61 + 50 + 40 and all(root == k[0] + "000" for k, root in out.items())
     assert shingles("a b") == {("a", "b")}
+
+
+def test_common_keys_are_spread(spark, monkeypatch):
+    """Hot paths, copies and families go by salts and give the same rows."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"v{k}"] + base[k:]) for k in range(14)] + [" ".join(base)] * 20
+    texts += [" ".join(f"q{rng.randrange(99)}" for _ in range(30)) for _ in range(5)]
+    rows = list(enumerate(texts))
+    want = sorted(map(str, classes(rows)))
+    monkeypatch.setattr(sj, "HOT_ROWS", 5)
+    small = sj.Settings(bucket=8, block=24, family=10)
+    monkeypatch.setattr(sj, "BROADCAST_KEYS", 0)
+    assert got(table(spark, rows), small) == want
+
+
+def test_rows_of_a_hot_key_meet_its_row_once(spark, monkeypatch):
+    monkeypatch.setattr(sj, "HOT_ROWS", 7)
+    rows = spark.createDataFrame([(k, "a" if k % 3 else f"b{k}") for k in range(300)], "id long, k string")
+    for bound in (100, 0):
+        monkeypatch.setattr(sj, "BROADCAST_KEYS", bound)
+        table, seen = sj._kept(rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")), "n")
+        assert seen == {"hot": 1}
+        out = sj._meet(rows, table, "k", "n", seen["hot"]).collect()
+        assert sorted((r["id"], r["k"], r["n"], r["top"]) for r in out) == sorted((k, "a", 200, 299) if k % 3 else (k, f"b{k}", 1, k) for k in range(300))
+
+
+def test_bands_of_sizes_lose_no_pair(spark):
+    """Of a family with sets of many sizes every pair that can be similar shares exactly one group."""
+    rng = random.Random(9)
+    sizes = [rng.randrange(1, 400) for _ in range(300)]
+    family = spark.createDataFrame([(f"{k:04d}".encode(), b"0000" if k < 290 else b"0290") for k in range(300)], "node binary, root binary").coalesce(1)
+    sized = spark.createDataFrame([(f"{k:04d}".encode(), n) for k, n in enumerate(sizes)], "node binary, n_shingles long").coalesce(1)
+    for s in (sj.Settings(family=12), sj.Settings(group_bytes=20_000)):
+        groups, met = {}, {}
+        for r in sj._banded(family, sized, s).collect():
+            groups.setdefault(r["key"], []).append((int(bytes(r["node"])), r["side"]))
+        for key, own in groups.items():
+            across = key["across"] or key["a"] != key["b"]
+            for i, (x, sx) in enumerate(own):
+                for y, sy in own[:i]:
+                    if not across or sx != sy:
+                        met[min(x, y), max(x, y)] = met.get((min(x, y), max(x, y)), 0) + 1
+        assert max(met.values()) == 1
+        similar = {(x, y) for y in range(300) for x in range(y) if (x < 290) == (y < 290) and min(sizes[x], sizes[y]) >= 0.8 * max(sizes[x], sizes[y])}
+        assert similar <= met.keys() and len(met) < 0.6 * 300 * 299 / 2
+        assert max(len(own) for own in groups.values()) <= (40 if s.family == 12 else 100)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two", "x", "y"), (2, "one two", "z", "w")], "doc_id long, text string, _node string, _node_ string")
+    kept = sj.one_of_each(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "one two", "x", "y")]
