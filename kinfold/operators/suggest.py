@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.digest import pair_hash
+from ..sources.work import cut
 
 BUCKET = ["rule_id", "digest"]
 
@@ -88,3 +89,44 @@ def direct_matches(pairs: DataFrame, memberships: DataFrame, a: str = "source_id
     left = pairs.join(m.withColumnRenamed("record_id", a), a)
     both = left.join(m.select("rule_id", "digest", F.col("record_id").alias(b)), [b, "rule_id", "digest"])
     return both.groupBy(a, b).agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))
+
+
+#: Ids in one block of a kind, about, and ids on each side of a cell of the grid.
+_BLOCK, _SIDE = 256, 1024
+
+
+def open_chains(memberships: DataFrame, first: str, second: str) -> DataFrame:
+    """The pairs (a, c), each once, where some b shares the first rule with a and the second with c, but a and c share neither.
+
+    Such a b is neither a nor c, as these would then share a rule. So a pair belongs by the kinds of its ends,
+    the keys a record has under both rules (more than one a rule only where ids repeat): kinds meet, not records,
+    and records come in blocks of a kind that are opened last. Every row that is made is one of the result.
+    A grid over the blocks of equal first keys deals the pairs of a frequent key to many tasks.
+    """
+    digests = lambda rule: F.array_sort(F.collect_set(F.when(F.col("rule_id") == rule, F.col("digest"))))
+    own = memberships.where(F.col("rule_id").isin(first, second)).groupBy("record_id").agg(digests(first).alias("n"), digests(second).alias("s"))
+    sizes = own.groupBy("n", "s").agg(F.count("*").alias("size"))
+    block = F.pmod(F.xxhash64("record_id"), F.ceil(F.col("size") / _BLOCK)).alias("block")
+    blocks = cut(own.join(sizes, ["n", "s"]).groupBy("n", "s", block).agg(F.collect_list("record_id").alias("ids")))
+    kinds = blocks.select("n", "s").distinct()
+
+    # (n, s): first keys of a and second keys of c that some b has together.
+    met = kinds.select("n", F.explode("s").alias("y")).select(F.explode("n").alias("x"), "y").distinct()
+    of_c = kinds.select("s", F.explode("s").alias("y")).distinct()
+    of_a = kinds.select("n", F.explode("n").alias("x")).distinct()
+    linked = met.join(of_c, "y").join(of_a, "x").select("n", "s").distinct()
+    # Of these, the ones where some a with n shares no second key with c.
+    near = linked.select("n", "s", F.explode("s").alias("y")).join(kinds.select("n", F.col("s").alias("t"), F.explode("s").alias("y")), ["n", "y"])
+    near = near.select("n", "s", "t").distinct().groupBy("n", "s").agg(F.count("*").alias("near"))
+    linked = linked.join(kinds.groupBy("n").agg(F.count("*").alias("kinds")), "n").join(near, ["n", "s"], "left").where(F.col("kinds") > F.coalesce("near", F.lit(0)))
+
+    starts = blocks.select("n", F.col("s").alias("t"), F.col("ids").alias("a"))
+    ends = cut(blocks.select(F.col("n").alias("m"), "s", F.col("ids").alias("c")).join(linked.select("n", "s"), "s").where(~F.arrays_overlap("m", "n")).select("n", "s", "c"))
+    spans = lambda c: F.ceil(F.sum(F.size(c)) / _SIDE)
+    grid = starts.groupBy("n").agg(spans("a").alias("rows")).join(ends.groupBy("n").agg(spans("c").alias("columns")), "n")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    a = starts.join(grid, "n").select("n", "t", "a", F.pmod(F.xxhash64(F.col("a")[0]), "rows").alias("row"), every("columns").alias("column"))
+    c = ends.join(grid, "n").select("n", "s", "c", F.pmod(F.xxhash64(F.col("c")[0]), "columns").alias("column"), every("rows").alias("row"))
+    single = (F.size("t") == 1) & (F.size("s") == 1)
+    pairs = a.join(c, ["n", "row", "column"]).where(F.when(single, F.col("t")[0] != F.col("s")[0]).otherwise(~F.arrays_overlap("t", "s")))
+    return pairs.select(F.explode("a").alias("a"), "c").select("a", F.explode("c").alias("c"))

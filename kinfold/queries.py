@@ -315,13 +315,7 @@ def direct_match(spark, d):
 select distinct j.a, j.c from joined j where not exists (select 1 from members x join members y on x.rule_id = y.rule_id and x.digest = y.digest where x.record_id = j.a and y.record_id = j.c)""")
 def overlap_no_closure(spark, d):
     """a-b by name and b-c by specification do not make a-c: the chains whose ends share no rule."""
-    m = _published(spark, d)
-    name, spec = (m.where(F.col("rule_id") == r).select("digest", "record_id") for r in ("name", "spec"))
-    ab = name.select("digest", F.col("record_id").alias("a")).join(name.select("digest", F.col("record_id").alias("b")), "digest").where("a <> b").select("a", "b")
-    bc = spec.select("digest", F.col("record_id").alias("b")).join(spec.select("digest", F.col("record_id").alias("c")), "digest").where("b <> c").select("b", "c")
-    ac = ab.join(bc, "b").where("a <> c").select("a", "c").distinct()
-    direct = suggest.direct_matches(ac, m, "a", "c")
-    return ac.join(direct, ["a", "c"], "left_anti")
+    return suggest.open_chains(_published(spark, d), NAME.id, SPEC.id)
 
 
 @_query(f"""with two as (select 'int:' || a.p_partkey a, 'int:' || b.p_partkey b from part a join part b on b.p_partkey = a.p_partkey + 1)

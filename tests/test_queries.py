@@ -1,5 +1,7 @@
 """Every registered query of the engine against DuckDB on the small tables."""
 
+import threading
+
 import duckdb
 import pytest
 
@@ -35,3 +37,29 @@ def test_scan_plan_is_one_pass_without_python(spark, sf):
     plan = QUERIES["membership_explode"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Python" not in plan and "Exchange" not in plan
     assert "p_retailprice" not in plan
+
+
+def _chains(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    return QUERIES["overlap_no_closure"](spark, str(tmp_path)).select("a", "c")
+
+
+def test_chains_equal_sql_on_odd_rows(spark, tmp_path):
+    """Missing keys, blank names, copies, and ids that repeat with other keys."""
+    rows = [(None if i == 7 else i % 83, [None, " ", "x", "X ", "y", "z", "w"][i * i % 11 % 7], ["b", "b", None][i * 5 % 13 % 3], "t", i * i * 3 % 17 % 5) for i in range(120)]
+    got = [tuple(r) for r in _chains(spark, tmp_path, rows).collect()]
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert got and sorted(got) == sorted(con.sql(f"select a, c from ({ORACLE_SQL['overlap_no_closure']})").fetchall())
+
+
+def test_chains_of_copies(spark, tmp_path):
+    """3,000 copies, a record with their name and one with that one's specification: 3,000 pairs, not 27 billion chains."""
+    rows = [(i, "x", "b", "t", 1) for i in range(3000)] + [(3000, "x", "b", "t", 2), (3001, "y", "b", "t", 2)]
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = [tuple(r) for r in _chains(spark, tmp_path, rows).collect()]
+    finally:
+        late.cancel()
+    assert sorted(got) == sorted((str(i), "3001") for i in range(3000))
