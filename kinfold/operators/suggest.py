@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,8 +93,8 @@ def direct_matches(pairs: DataFrame, memberships: DataFrame, a: str = "source_id
     return both.groupBy(a, b).agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))
 
 
-#: Ids in one block of a kind, about, and ids on each side of a cell of the grid.
-_BLOCK, _SIDE = 256, 1024
+#: Ids in one block of a kind, about; ids in one run of ends; fewest and most pairs in a cell of the grid, about.
+_BLOCK, _RUN, _CELL = 256, 256, (1 << 20, 1 << 26)
 
 
 def open_chains(memberships: DataFrame, first: str, second: str) -> DataFrame:
@@ -101,14 +103,17 @@ def open_chains(memberships: DataFrame, first: str, second: str) -> DataFrame:
     Such a b is neither a nor c, as these would then share a rule. So a pair belongs by the kinds of its ends,
     the keys a record has under both rules (more than one a rule only where ids repeat): kinds meet, not records,
     and records come in blocks of a kind that are opened last. Every row that is made is one of the result.
-    A grid over the blocks of equal first keys deals the pairs of a frequent key to many tasks.
+    A grid over the blocks of equal first keys deals the pairs of a frequent key to many tasks. Its cells grow with
+    the result, up to a bound, so that ids are sent few times; a task makes the pairs of about one cell.
+    In a cell all starts meet one run of ends after the other. So a file of the result holds few ids, and in it a start
+    stays for a run while the ends come round: Parquet's dictionaries and compression need little for both.
     """
     digests = lambda rule: F.array_sort(F.collect_set(F.when(F.col("rule_id") == rule, F.col("digest"))))
     own = memberships.where(F.col("rule_id").isin(first, second)).groupBy("record_id").agg(digests(first).alias("n"), digests(second).alias("s"))
     sizes = own.groupBy("n", "s").agg(F.count("*").alias("size"))
     block = F.pmod(F.xxhash64("record_id"), F.ceil(F.col("size") / _BLOCK)).alias("block")
     blocks = cut(own.join(sizes, ["n", "s"]).groupBy("n", "s", block).agg(F.collect_list("record_id").alias("ids")))
-    kinds = blocks.select("n", "s").distinct()
+    kinds = blocks.groupBy("n", "s").agg(F.sum(F.size("ids")).alias("size"))
 
     # (n, s): first keys of a and second keys of c that some b has together.
     met = kinds.select("n", F.explode("s").alias("y")).select(F.explode("n").alias("x"), "y").distinct()
@@ -120,13 +125,24 @@ def open_chains(memberships: DataFrame, first: str, second: str) -> DataFrame:
     near = near.select("n", "s", "t").distinct().groupBy("n", "s").agg(F.count("*").alias("near"))
     linked = linked.join(kinds.groupBy("n").agg(F.count("*").alias("kinds")), "n").join(near, ["n", "s"], "left").where(F.col("kinds") > F.coalesce("near", F.lit(0)))
 
-    starts = blocks.select("n", F.col("s").alias("t"), F.col("ids").alias("a"))
-    ends = cut(blocks.select(F.col("n").alias("m"), "s", F.col("ids").alias("c")).join(linked.select("n", "s"), "s").where(~F.arrays_overlap("m", "n")).select("n", "s", "c"))
-    spans = lambda c: F.ceil(F.sum(F.size(c)) / _SIDE)
-    grid = starts.groupBy("n").agg(spans("a").alias("rows")).join(ends.groupBy("n").agg(spans("c").alias("columns")), "n")
+    ends = cut(kinds.select(F.col("n").alias("m"), "s", "size").join(linked.select("n", "s"), "s").where(~F.arrays_overlap("m", "n")))
+    grid = kinds.groupBy("n").agg(F.sum("size").alias("rows")).join(ends.groupBy("n").agg(F.sum("size").alias("columns")), "n")
+    total = grid.agg(F.sum(F.col("rows").cast("double") * F.col("columns"))).first()[0] or 0.0
+    cell = min(_CELL[1], max(_CELL[0], total / int(memberships.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = math.ceil(total / cell) or 1
+    grid = cut(grid.select("n", *[F.ceil(F.col(k) / math.sqrt(cell)).alias(k) for k in ("rows", "columns")]))
+
+    place = ["n", "row", "column"]
+    dealt = lambda k: F.pmod(F.xxhash64(F.col("ids")[0]), k)
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
-    a = starts.join(grid, "n").select("n", "t", "a", F.pmod(F.xxhash64(F.col("a")[0]), "rows").alias("row"), every("columns").alias("column"))
-    c = ends.join(grid, "n").select("n", "s", "c", F.pmod(F.xxhash64(F.col("c")[0]), "columns").alias("column"), every("rows").alias("row"))
-    single = (F.size("t") == 1) & (F.size("s") == 1)
-    pairs = a.join(c, ["n", "row", "column"]).where(F.when(single, F.col("t")[0] != F.col("s")[0]).otherwise(~F.arrays_overlap("t", "s")))
+    a = blocks.join(grid, "n").select("n", F.col("s").alias("t"), F.col("ids").alias("a"), dealt("rows").alias("row"), every("columns").alias("column"))
+    c = blocks.withColumnRenamed("n", "m").join(ends.select("m", "s", "n"), ["m", "s"]).join(grid, "n")
+    c = c.select("n", "s", "ids", dealt("columns").alias("column"), every("rows").alias("row")).repartition(tasks, *place)
+    c = c.groupBy(*place).agg(F.flatten(F.collect_list(F.transform("ids", lambda x: F.struct("s", x.alias("id"))))).alias("c"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("c"), F.lit(_RUN)), lambda i: F.slice("c", i, _RUN))
+    c = c.select(*place, F.explode(runs).alias("c"))
+    single = lambda x: (F.size("t") == 1) & (F.size(x) == 1)
+    apart = F.filter("c", lambda x: F.when(single(x["s"]), F.col("t")[0] != x["s"][0]).otherwise(~F.arrays_overlap("t", x["s"])))
+    # The left side of a merge join is the outer loop: one run of ends, then all starts of the cell.
+    pairs = c.join(a.repartition(tasks, *place).hint("merge"), place).select("a", F.transform(apart, lambda x: x["id"]).alias("c"))
     return pairs.select(F.explode("a").alias("a"), "c").select("a", F.explode("c").alias("c"))

@@ -315,7 +315,7 @@ def direct_match(spark, d):
 select distinct j.a, j.c from joined j where not exists (select 1 from members x join members y on x.rule_id = y.rule_id and x.digest = y.digest where x.record_id = j.a and y.record_id = j.c)""")
 def overlap_no_closure(spark, d):
     """a-b by name and b-c by specification do not make a-c: the chains whose ends share no rule."""
-    return suggest.open_chains(_published(spark, d), NAME.id, SPEC.id)
+    return suggest.open_chains(_members(spark, d), NAME.id, SPEC.id)
 
 
 @_query(f"""with two as (select 'int:' || a.p_partkey a, 'int:' || b.p_partkey b from part a join part b on b.p_partkey = a.p_partkey + 1)

@@ -63,3 +63,13 @@ def test_chains_of_copies(spark, tmp_path):
     finally:
         late.cancel()
     assert sorted(got) == sorted((str(i), "3001") for i in range(3000))
+
+
+def test_chains_are_written_small(spark, tmp_path):
+    """Two names with 100 specifications in 10 copies each: a start stays for a run of ends, so Parquet needs few bits a pair."""
+    rows = [(10 * (100 * n + s) + i, "xy"[n], "b", "t", s) for n in range(2) for s in range(100) for i in range(10)]
+    _chains(spark, tmp_path, rows).write.parquet(f"{tmp_path}/out")
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert found.count() == found.distinct().count() == 2 * 1000 * 990
+    assert found.where("(a < 1000) = (c < 1000) or floor(a / 10) % 100 = floor(c / 10) % 100").isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.3 * found.count()
